@@ -1,0 +1,33 @@
+"""Joining a large table to one row per key when some keys are very frequent."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is frequent when it holds more than this share of the rows, so there are
+# at most 1/share frequent keys and their side of the join has a fixed bound.
+FREQUENT_SHARE = 1.0 / 256
+
+
+def frequent_keys(rows: DataFrame, key: str, share: float = FREQUENT_SHARE) -> DataFrame:
+    """Keys above the share; fewer than ``1/share`` rows, whatever the input."""
+    per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    limit = F.greatest(per_key.agg(F.sum("n") * F.lit(share)).scalar(), F.lit(1000.0))
+    return per_key.where(F.col("n") > limit).select(key)
+
+
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, key: str, share: float = FREQUENT_SHARE
+) -> DataFrame:
+    """Left join to a lookup with one row per key, safe for frequent keys.
+
+    Rows of frequent keys are joined by broadcasting the few lookup rows they
+    need, and so never meet in one partition.  All other rows shuffle normally.
+    """
+    frequent = F.broadcast(frequent_keys(rows, key, share))
+    hot = rows.join(frequent, key, "left_semi").join(
+        F.broadcast(lookup.join(frequent, key, "left_semi")), key, "left"
+    )
+    cold = rows.join(frequent, key, "left_anti").join(lookup, key, "left")
+    return hot.unionByName(cold)
