@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LARGE_DF = 100_000.0
 
@@ -63,7 +64,7 @@ def t_cdf(t: float, df: float) -> float:
     return tail if t < 0 else 1.0 - tail
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_cdf_series(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_cdf(a, b) for a, b in zip(t, df)], dtype="float64")
 

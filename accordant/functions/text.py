@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters Python's str.strip removes.
 SPACE = (
@@ -25,7 +26,7 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(SPACE))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_to_ascii(texts: pd.Series) -> pd.Series:
     return texts.map(
         lambda t: unicodedata.normalize("NFKD", t.strip())

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.functions.labels import bind
+
 # Dollars per 1000 tokens as (prompt, completion).
 MODEL_PRICES: dict[str, tuple[float, float]] = {
     "gpt-4o": (0.0025, 0.01),
@@ -31,6 +33,34 @@ MODEL_PRICES: dict[str, tuple[float, float]] = {
 DEFAULT_PRICE = 0.001
 
 
+def round_binary(value: Column, digits: int) -> Column:
+    """Round the exact binary value of a non-negative double, ties to even.
+
+    Spark rounds the shortest decimal spelling instead, which moves about one in
+    ten amounts that lie half way.  The rounding error of ``value * 10**digits``
+    is recovered by splitting both factors, so the comparison with one half is exact.
+    """
+    scale = float(10**digits)
+    split = 134217729.0  # 2**27 + 1
+
+    def high(x):
+        return x * split - (x * split - x)
+
+    scale_high = scale * split - (scale * split - scale)
+    scale_low = scale - scale_high
+
+    def result(v: Column) -> Column:
+        product, head = v * scale, high(v)
+        tail = v - head
+        error = (head * scale_high - product) + head * scale_low + tail * scale_high + tail * scale_low
+        whole = F.floor(product)
+        over = (product - whole - 0.5) + error
+        up = (over > 0) | ((over == 0) & (whole % 2 == 1))
+        return F.when(up, whole + 1).otherwise(whole) / F.lit(scale)
+
+    return bind(value, result)
+
+
 def row_cost(
     model: Column,
     prompt_tokens: Column,
@@ -51,7 +81,7 @@ def row_cost(
     price = F.try_element_at(F.create_map(*entries), model)
     known = prompt_tokens * price["p"] / 1000 + completion_tokens * price["c"] / 1000
     unknown = (prompt_tokens + completion_tokens) * F.lit(DEFAULT_PRICE) / 1000
-    return F.round(F.coalesce(known, unknown), 6)
+    return round_binary(F.coalesce(known, unknown), 6)
 
 
 def with_cost(
