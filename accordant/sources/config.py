@@ -42,7 +42,7 @@ class ProjectConfig:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "ProjectConfig":
         """Read one configuration file from any file system Spark can reach."""
-        content = spark.read.option("wholetext", "true").text(path).first()
+        content = spark.read.text(path, wholetext=True).first()
         if content is None:
             raise ValueError(f"empty configuration: {path}")
         return cls.from_dict(json.loads(content["value"]))
