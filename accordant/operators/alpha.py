@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordant.functions.labels import bind, mix
+from accordant.functions.labels import bind
 from accordant.operators.patterns import rating_patterns
 from accordant.schema import TRAIN, Ratings
 
@@ -200,8 +200,7 @@ def train_patterns(
     facts: DataFrame, ratings: Ratings, keys: Sequence[str] = RUN_KEYS
 ) -> DataFrame:
     """Rating patterns of the training rows; rows without any rating drop out."""
-    train = facts.where(F.col("split") == TRAIN).na.drop("all", subset=ratings.columns)
-    return rating_patterns(train, ratings, keys, listwise=False)
+    return rating_patterns(_train_rows(facts, ratings), ratings, keys, listwise=False)
 
 
 def panel_alphas(
@@ -217,49 +216,77 @@ def panel_alphas(
 # --- resampling -----------------------------------------------------------
 
 
-def hashed_resamples(items: DataFrame, key: str, n_replicates: int) -> DataFrame:
-    """``rep, key, weight``: repeatable bootstrap weights per item and replicate.
+_PRIME = 2147483647
+
+
+def poisson_weight(key: Column, rep: Column) -> Column:
+    """How often an item is drawn in a replicate: Poisson with mean 1.
 
-    The weight is the number of times the item is drawn, following the Poisson
-    law with mean 1 through fixed cut points on a hash of item and replicate.
-    Items drawn zero times are left out.
+    Repeatable arithmetic any engine has: a hash of item and replicate by squaring
+    modulo a prime, compared with fixed cut points.
     """
-    # Poisson(1) cumulative probabilities 0..6, in millionths.
+    # Poisson(1) cumulative probabilities of 0..6, in millionths.
     steps = (367879, 735759, 919699, 981012, 996340, 999406, 999917)
-    spread = F.pmod(
-        mix(mix(F.col(key), 0) + F.col("rep") * F.lit(7919), 1), F.lit(1_000_000)
+    prime = F.lit(_PRIME)
+    first = (F.pmod(key, prime) * 48271 + rep * F.lit(104729).cast("bigint") + 11) % prime
+    second = (first * first + 12345) % prime
+    place = ((second * second + first) % prime) % 1_000_000
+    weight = F.when(place < steps[0], 0)
+    for n, step in enumerate(steps[1:], start=1):
+        weight = weight.when(place < step, n)
+    return weight.otherwise(len(steps))
+
+
+def hashed_resamples(items: DataFrame, key: str, n_replicates: int) -> DataFrame:
+    """``rep, key, weight``: the draws of :func:`poisson_weight` as a table."""
+    reps = F.sequence(F.lit(1), F.lit(n_replicates))
+    return items.select(key, F.explode(reps).alias("rep")).withColumn(
+        "weight", poisson_weight(F.col(key), F.col("rep"))
     )
-    weight = sum((F.when(spread >= s, 1).otherwise(0) for s in steps), F.lit(0))
+
+
+def _train_rows(facts: DataFrame, ratings: Ratings) -> DataFrame:
+    return facts.where(F.col("split") == TRAIN).na.drop("all", subset=ratings.columns)
+
+
+def _replicate_patterns(
+    weighted: DataFrame, ratings: Ratings, keys: Sequence[str]
+) -> DataFrame:
     return (
-        items.select(key, F.explode(F.sequence(F.lit(1), F.lit(n_replicates))).alias("rep"))
-        .withColumn("weight", weight)
-        .where(F.col("weight") > 0)
+        weighted.groupBy(*keys, "rep", *ratings.columns)
+        .agg(F.sum("weight").cast("bigint").alias("n"))
+        .where(F.col("n") > 0)
     )
 
 
 def resampled_patterns(
     facts: DataFrame, resamples: DataFrame, key: str, ratings: Ratings, keys: Sequence[str] = RUN_KEYS
 ) -> DataFrame:
-    """Rating patterns of every replicate of a supplied resample table."""
-    train = facts.where(F.col("split") == TRAIN).na.drop("all", subset=ratings.columns)
-    return (
-        train.select(*keys, key, *ratings.columns)
-        .join(resamples, key)
-        .groupBy(*keys, "rep", *ratings.columns)
-        .agg(F.sum("weight").cast("bigint").alias("n"))
+    """Rating patterns of every replicate of a supplied table ``key, rep, weight``."""
+    rows = _train_rows(facts, ratings).select(*keys, key, *ratings.columns)
+    return _replicate_patterns(rows.join(resamples, key), ratings, keys)
+
+
+def hash_resampled_patterns(
+    facts: DataFrame, key: str, n_replicates: int, ratings: Ratings, keys: Sequence[str] = RUN_KEYS
+) -> DataFrame:
+    """The same for hashed draws.  Weights are computed where the rows are: no
+    resample table is built, joined or shuffled, only pattern sums leave a task."""
+    reps = F.sequence(F.lit(1), F.lit(n_replicates))
+    rows = _train_rows(facts, ratings).select(
+        *keys, key, *ratings.columns, F.explode(reps).alias("rep")
     )
+    weighted = rows.withColumn("weight", poisson_weight(F.col(key), F.col("rep")))
+    return _replicate_patterns(weighted, ratings, keys)
 
 
 def fixed_bootstrap(
-    facts: DataFrame,
-    resamples: DataFrame,
-    key: str,
+    patterns: DataFrame,
     ratings: Ratings,
     level: str = "ordinal",
     keys: Sequence[str] = RUN_KEYS,
 ) -> DataFrame:
-    """``keys, rep, difference`` for a supplied resample table."""
-    patterns = resampled_patterns(facts, resamples, key, ratings, keys)
+    """``keys, rep, alpha_human, alpha_model, difference`` from resampled patterns."""
     rep_keys = [*keys, "rep"]
     table = coincidences(patterns, human_and_model_panels(ratings), rep_keys)
     return compare_panels(alphas_from_coincidences(table, rep_keys, level), rep_keys)
@@ -321,16 +348,14 @@ def _replicates(
                 size = int(totals.sum())
                 domain = np.unique(values[~np.isnan(values)])
                 reps = range(int(row["first"]), int(row["last"]) + 1)
-                weights = np.empty((len(reps), len(counts)))
-                for at, rep in enumerate(reps):
-                    # Rows per bucket first, from a stream all buckets share; then
-                    # the rows inside this bucket.  Together: one multinomial draw.
-                    drawn = size
-                    if len(totals) > 1:
-                        shared = np.random.default_rng([seed, stream, rep])
-                        drawn = int(shared.multinomial(size, totals / size)[here])
-                    own = np.random.default_rng([seed, stream, rep, int(row["bucket"]) + 1])
-                    weights[at] = own.multinomial(drawn, counts / counts.sum())
+                # Rows per bucket first, from a stream all buckets share; then the rows
+                # inside this bucket.  Together: one multinomial draw per replicate.
+                drawn = np.full(len(reps), size)
+                if len(totals) > 1:
+                    shared = np.random.default_rng([seed, stream, reps[0]])
+                    drawn = shared.multinomial(size, totals / size, len(reps))[:, here]
+                own = np.random.default_rng([seed, stream, reps[0], int(row["bucket"]) + 1])
+                weights = own.multinomial(drawn, counts / counts.sum(), len(reps)).astype(float)
                 for panel, columns in panels.items():
                     sums = weights @ _pair_table(values, domain, columns)
                     items = weights @ (~np.isnan(values[:, columns])).any(axis=1).astype(float)
@@ -375,7 +400,7 @@ def bootstrap(
 
     Resampling N rows with replacement is a multinomial draw over the rating
     patterns, so a replicate costs the number of patterns and not N.  Draws depend
-    on seed, group and replicate only, never on the partitioning.
+    on seed, group and replicate range only, never on the partitioning.
     """
     columns = ratings.columns
     panels = {
@@ -383,13 +408,15 @@ def bootstrap(
         for name, cols in human_and_model_panels(ratings).items()
     }
     patterns = train_patterns(facts, ratings, keys)
-    # Ranges never cross buckets; each (bucket, range) is one unit of work.
+    # Each (bucket, range) is one unit of work.  The number of tasks is given, since
+    # these rows are few and small and would otherwise be merged into one task.
+    tasks = 4 * facts.sparkSession.sparkContext.defaultParallelism
     starts = F.sequence(F.lit(1), F.lit(n_bootstrap), F.lit(REPLICATES_PER_TASK))
     work = (
         _bucketed(patterns, keys, ratings)
         .withColumn("first", F.explode(starts))
         .withColumn("last", F.least(F.col("first") + REPLICATES_PER_TASK - 1, F.lit(n_bootstrap)))
-        .repartition(*keys, "bucket", "first")
+        .repartition(tasks, *keys, "bucket", "first")
     )
     shape = ", ".join(f"`{k}` {facts.schema[k].dataType.simpleString()}" for k in keys)
     drawn = work.mapInPandas(

@@ -25,21 +25,14 @@ NOT_APPLICABLE = "N/A"
 def best_row(rows: DataFrame, keys: Sequence[str], order: str = "iteration") -> DataFrame:
     """Best row per group: by validation accuracy, else training accuracy, else
     the first.  The earliest row wins a tie."""
+    lowest = F.lit(float("-inf"))
+    # The training accuracy decides only among rows without a validation accuracy.
+    fallback = F.when(F.col("accuracy_val").isNull(), F.coalesce("accuracy_train", lowest))
     rank = F.struct(
-        F.coalesce("accuracy_val", F.lit(float("-inf"))),
-        F.when(F.col("_any_val"), 0.0).otherwise(F.coalesce("accuracy_train", F.lit(float("-inf")))),
-        -F.col(order),
-    )
-    flags = rows.groupBy(*keys).agg(
-        F.bool_or(F.col("accuracy_val").isNotNull()).alias("_any_val")
-    )
-    everything = F.struct(*rows.columns)
-    return (
-        rows.join(flags, list(keys))
-        .groupBy(*keys)
-        .agg(F.max_by(everything, rank).alias("_best"))
-        .select("_best.*")
+        F.coalesce("accuracy_val", lowest), F.coalesce(fallback, F.lit(0.0)), -F.col(order)
     )
+    best = F.max_by(F.struct(*rows.columns), rank)
+    return rows.groupBy(*keys).agg(best.alias("_best")).select("_best.*")
 
 
 def best_prompt(rows: DataFrame, keys: Sequence[str], order: str = "iteration") -> DataFrame:

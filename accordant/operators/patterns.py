@@ -30,7 +30,10 @@ def rating_patterns(
     """
     require_columns(facts, [*keys, *ratings.columns])
     rows = facts.na.drop("any", subset=ratings.columns) if listwise else facts
-    return rows.groupBy(*keys, *ratings.columns).agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.groupBy(*keys, *ratings.columns).agg(F.count(F.lit(1)).alias("n"))
+    # Always true, but it keeps n in every branch of a plan.  Branches then agree up
+    # to the shuffle, which Spark runs once and reuses: facts are read one time.
+    return counted.where(F.col("n") > 0)
 
 
 def scenario_keys(facts: DataFrame) -> list[str]:

@@ -91,16 +91,14 @@ def _rounded(df):
 
 
 _STEPS = (367879, 735759, 919699, 981012, 996340, 999406, 999917)
-_SPREAD = (
-    "(((q % 2147483648) * 2654435761 + (q // 2147483648) * 1500450271 + 40503) % 4294967296) % 1000000"
-)
 # Draw weights per (item, replicate), then rating patterns with summed weights.
 BOOT_SQL = (
     FACTS_SQL
     + f""",
-rs0 AS (SELECT item_id, rep, (item_id * 2654435761) % 4294967296 + rep * 7919 AS q FROM (SELECT DISTINCT item_id FROM d) CROSS JOIN (SELECT unnest(generate_series(1, {REPLICATES})) AS rep)),
-rs1 AS (SELECT item_id, rep, {_SPREAD} AS z FROM rs0),
-rs AS (SELECT item_id, rep, {' + '.join(f'CASE WHEN z >= {s} THEN 1 ELSE 0 END' for s in _STEPS)} AS weight FROM rs1),
+rs0 AS (SELECT item_id, rep, (item_id * 48271 + rep * 104729 + 11) % 2147483647 AS f FROM (SELECT DISTINCT item_id FROM d) CROSS JOIN (SELECT unnest(generate_series(1, {REPLICATES})) AS rep)),
+rs1 AS (SELECT *, (f * f + 12345) % 2147483647 AS g FROM rs0),
+rs2 AS (SELECT item_id, rep, ((g * g + f) % 2147483647) % 1000000 AS z FROM rs1),
+rs AS (SELECT item_id, rep, {' + '.join(f'CASE WHEN z >= {s} THEN 1 ELSE 0 END' for s in _STEPS)} AS weight FROM rs2),
 bp AS (SELECT {_K}, rep, model_pred, rater_a, rater_b, rater_c, sum(weight) AS w FROM d JOIN rs USING (item_id) WHERE split = 'train' AND weight > 0 GROUP BY ALL),
 bq AS (SELECT *, row_number() OVER () AS iid FROM bp),
 {alpha_sql(_K + ', rep', 'bq', PANELS, 'ordinal', 'b')},
@@ -123,12 +121,8 @@ _ACROSS_SQL = """ac AS (SELECT prompt_name, iteration, count(*) AS n_runs,
 
 def _fixed(spark, sf):
     rows = facts(spark, sf)
-    resamples = alpha.hashed_resamples(_items(rows), "item_id", REPLICATES)
-    return rows, alpha.fixed_bootstrap(rows, resamples, "item_id", RATINGS)
-
-
-def _items(rows):
-    return rows.select("item_id").distinct()
+    patterns = alpha.hash_resampled_patterns(rows, "item_id", REPLICATES, RATINGS)
+    return rows, alpha.fixed_bootstrap(patterns, RATINGS)
 
 
 @query(
