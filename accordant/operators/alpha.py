@@ -91,20 +91,76 @@ def _sum(array: Column, value) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + value(x))
 
 
-def _distance(level: str, values: Column, margins: Column, i: Column, j: Column) -> Column:
-    """Squared distance of the i-th and j-th value (1-based)."""
-    a = F.element_at(values, i.cast("int")).cast("double")
-    b = F.element_at(values, j.cast("int")).cast("double")
+def _at(array: Column, place: Column) -> Column:
+    return F.element_at(array, place.cast("int"))
+
+
+def _square(x: Column) -> Column:
+    return x * x
+
+
+def _ratio_distance(a: Column, b: Column) -> Column:
+    return F.when(a == b, 0.0).otherwise(_square((a - b) / (a + b)))
+
+
+def _mid_ranks(margin: Column) -> Column:
+    """Ranks of the values with ties sharing their middle.
+
+    The ordinal distance of two values is the difference of their mid-ranks.
+    """
+    upto = F.sequence(F.lit(1), F.size(margin))
+    return F.transform(
+        upto, lambda i: _sum(F.slice(margin, F.lit(1), i), lambda x: x) - _at(margin, i) / 2.0
+    )
+
+
+def _disagreements(cells: Column, domain: Column, margin: Column, level: str) -> Column:
+    """``(observed, expected)``: both sums of squared distances, on the scale of n."""
+    total = _sum(margin, lambda x: x)
     if level == "nominal":
-        return F.when(i == j, 0.0).otherwise(1.0)
-    if level == "interval":
-        return (a - b) * (a - b)
+        return F.struct(
+            _sum(cells, lambda x: F.when(x["c"] == x["k"], 0.0).otherwise(x["o"])).alias("observed"),
+            (total * total - _sum(margin, lambda x: x * x)).alias("expected"),
+        )
+    values = F.transform(domain, lambda v: v.cast("double"))
     if level == "ratio":
-        return F.when(i == j, 0.0).otherwise(F.pow((a - b) / (a + b), 2.0))
-    low, high = F.least(i, j).cast("int"), F.greatest(i, j).cast("int")
-    between = _sum(F.slice(margins, low, high - low + 1), lambda x: x)
-    ends = (F.element_at(margins, low) + F.element_at(margins, high)) / 2.0
-    return F.when(i == j, 0.0).otherwise((between - ends) * (between - ends))
+        places = F.sequence(F.lit(1), F.size(domain))
+        return F.struct(
+            _sum(
+                cells,
+                lambda x: x["o"] * _ratio_distance(x["c"].cast("double"), x["k"].cast("double")),
+            ).alias("observed"),
+            _sum(
+                places,
+                lambda i: _at(margin, i)
+                * _sum(
+                    places,
+                    lambda j: _at(margin, j) * _ratio_distance(_at(values, i), _at(values, j)),
+                ),
+            ).alias("expected"),
+        )
+
+    def spread(score: Column) -> Column:
+        weighted = F.zip_with(margin, score, lambda m, s: F.struct(m.alias("m"), s.alias("s")))
+        mean = _sum(weighted, lambda w: w["m"] * w["s"]) / total
+        return bind(
+            mean,
+            lambda mu: F.struct(
+                _sum(
+                    cells,
+                    lambda x: x["o"]
+                    * _square(
+                        _at(score, F.array_position(domain, x["c"]))
+                        - _at(score, F.array_position(domain, x["k"]))
+                    ),
+                ).alias("observed"),
+                (2.0 * total * _sum(weighted, lambda w: w["m"] * _square(w["s"] - mu))).alias(
+                    "expected"
+                ),
+            ),
+        )
+
+    return bind(values if level == "interval" else _mid_ranks(margin), spread)
 
 
 def alpha_from_cells(cells: Column, level: str) -> Column:
@@ -114,34 +170,16 @@ def alpha_from_cells(cells: Column, level: str) -> Column:
     values = F.array_sort(F.array_distinct(F.transform(cells, lambda x: x["c"])))
 
     def result(domain: Column) -> Column:
-        places = F.sequence(F.lit(1).cast("bigint"), F.size(domain).cast("bigint"))
         margins = F.transform(
             domain, lambda v: _sum(cells, lambda x: F.when(x["c"] == v, x["o"]).otherwise(0.0))
         )
 
         def ratio(margin: Column) -> Column:
-            observed = _sum(
-                cells,
-                lambda x: x["o"]
-                * _distance(
-                    level,
-                    domain,
-                    margin,
-                    F.array_position(domain, x["c"]),
-                    F.array_position(domain, x["k"]),
-                ),
-            )
-            expected = _sum(
-                places,
-                lambda i: _sum(
-                    places,
-                    lambda j: F.element_at(margin, i.cast("int"))
-                    * F.element_at(margin, j.cast("int"))
-                    * _distance(level, domain, margin, i, j),
-                ),
+            scaled = _sum(margin, lambda x: x) - 1.0
+            return bind(
+                _disagreements(cells, domain, margin, level),
+                lambda d: F.lit(1.0) - F.try_divide(scaled * d["observed"], d["expected"]),
             )
-            total = _sum(margin, lambda x: x)
-            return F.lit(1.0) - F.try_divide((total - 1.0) * observed, expected)
 
         return bind(margins, ratio)
 
