@@ -20,6 +20,7 @@ HUMAN_PANEL = "human"
 # Patterns handed to one bootstrap task at a time.
 PATTERNS_PER_TASK = 4096
 REPLICATES_PER_TASK = 250
+CELLS_AT_ONCE = 2_000_000
 
 
 def human_and_model_panels(ratings: Ratings) -> dict[str, list[str]]:
@@ -395,7 +396,11 @@ def _replicates(
                 own = np.random.default_rng([seed, stream, reps[0], int(row["bucket"]) + 1])
                 weights = own.multinomial(drawn, counts / counts.sum(), len(reps)).astype(float)
                 for panel, columns in panels.items():
-                    sums = weights @ _pair_table(values, domain, columns)
+                    sums = np.zeros((len(reps), len(domain) ** 2))
+                    step = max(1, CELLS_AT_ONCE // len(domain) ** 2)
+                    for start in range(0, len(values), step):
+                        part = slice(start, start + step)
+                        sums += weights[:, part] @ _pair_table(values[part], domain, columns)
                     items = weights @ (~np.isnan(values[:, columns])).any(axis=1).astype(float)
                     at, cell = np.nonzero(sums)
                     c, k = np.divmod(cell, len(domain))

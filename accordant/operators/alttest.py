@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,39 +33,36 @@ def row_wins(df: DataFrame, ratings: Ratings, keep: Sequence[str], metric: str =
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     require_columns(df, ratings.columns)
-    model = F.col(ratings.model)
-    entries = F.array(
-        *[
+    guess = F.col(ratings.model)
+
+    def total(others: Sequence[str], value) -> Column:
+        """Sum over the other raters who rated; plain arithmetic, compiled by Spark."""
+        given = [F.when(rated(F.col(s)), value(F.col(s))).otherwise(0) for s in others]
+        return reduce(lambda a, b: a + b, given)
+
+    def score(source: Column, others: Sequence[str]) -> Column:
+        if metric == "accuracy":
+            return total(others, lambda x: F.when(x == source, 1).otherwise(0))
+        gap = lambda x: x.cast("double") - source.cast("double")
+        return -total(others, lambda x: gap(x) * gap(x))
+
+    def entry(r: str) -> Column:
+        others = [s for s in ratings.raters if s != r]
+        takes_part = rated(F.col(r)) & (total(others, lambda _: F.lit(1)) >= MIN_RATINGS - 1)
+        return F.when(
+            takes_part,
             F.struct(
                 F.lit(r).alias("rater"),
-                F.col(r).alias("own"),
-                F.filter(
-                    F.array(*[F.col(s) for s in ratings.raters if s != r]), rated
-                ).alias("others"),
-            )
-            for r in ratings.raters
-        ]
-    )
-    paired = df.select(*keep, model.alias("_model"), F.inline(entries)).where(
-        rated(F.col("own")) & (F.size("others") >= MIN_RATINGS - 1)
-    )
-    others, own, guess = F.col("others"), F.col("own"), F.col("_model")
-    if metric == "accuracy":
-        score_f = F.when(guess.isNull(), 0).otherwise(F.size(F.filter(others, lambda x: x == guess)))
-        score_h = F.size(F.filter(others, lambda x: x == own))
-    else:
-
-        def closeness(value: Column) -> Column:
-            return -F.aggregate(
-                others,
-                F.lit(0.0),
-                lambda acc, x: acc + (x.cast("double") - value) * (x.cast("double") - value),
-            )
+                score(guess, others).alias("score_f"),
+                score(F.col(r), others).alias("score_h"),
+            ),
+        )
 
-        score_f, score_h = closeness(guess.cast("double")), closeness(own.cast("double"))
-    return paired.select(
+    scored = df.select(*keep, F.explode(F.array(*[entry(r) for r in ratings.raters])).alias("_s"))
+    score_f, score_h = F.col("_s.score_f"), F.col("_s.score_h")
+    return scored.where(F.col("_s").isNotNull()).select(
         *keep,
-        "rater",
+        F.col("_s.rater").alias("rater"),
         (score_f >= score_h).cast("int").alias("w_f"),
         (score_h >= score_f).cast("int").alias("w_h"),
     )

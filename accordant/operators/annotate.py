@@ -29,14 +29,25 @@ def ensure_rater(df: DataFrame, name: str, label_type: str = "string") -> DataFr
     return out
 
 
-def latest_labels(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """``key, rater, label, invalid``: the newest non-empty label, and whether the
-    rater ever marked the row invalid.  Combines map-side."""
-    label = F.when(F.col("label") != "", F.col("label"))
-    newest = F.max_by("label", F.when(label.isNotNull(), F.struct(*order)))
-    return events.groupBy(key, "rater").agg(
-        F.when(F.count(label) > 0, newest).alias("label"), F.bool_or("invalid").alias("invalid")
-    )
+def latest_labels(
+    events: DataFrame, key: str, raters: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """``key, _label_<rater>, _flag_<rater>``: each rater's newest non-empty label,
+    and whether they ever marked the row invalid.
+
+    One aggregation by key, combined map-side, whose partitioning the join with
+    the rows reuses.
+    """
+    columns: list[Column] = []
+    for r in raters:
+        own = F.col("rater") == r
+        said = own & (F.col("label") != "")
+        newest = F.max_by(F.when(said, F.col("label")), F.when(said, F.struct(*order)))
+        columns += [
+            newest.alias(f"_label_{r}"),
+            F.bool_or(F.when(own, F.col("invalid"))).alias(f"_flag_{r}"),
+        ]
+    return events.groupBy(key).agg(*columns)
 
 
 def apply_events(
@@ -51,14 +62,7 @@ def apply_events(
     An event replaces an earlier label; a row without new label keeps its own.
     """
     out = reduce(ensure_rater, raters, df)
-    state = latest_labels(events.where(F.col("rater").isin(*raters)), key, order)
-    wide = state.groupBy(key).agg(
-        *[F.max(F.when(F.col("rater") == r, F.col("label"))).alias(f"_label_{r}") for r in raters],
-        *[
-            F.bool_or(F.when(F.col("rater") == r, F.col("invalid"))).alias(f"_flag_{r}")
-            for r in raters
-        ],
-    )
+    wide = latest_labels(events.where(F.col("rater").isin(*raters)), key, raters, order)
     joined = out.join(wide, key, "left")
     values: dict[str, Column] = {}
     for r in raters:

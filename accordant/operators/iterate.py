@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,32 +67,19 @@ def pick_examples(
 ) -> DataFrame:
     """First mistakes and first correct rows per group, in the wanted mix.
 
-    The first k of each class are kept as a running top-k by aggregation on the
-    order column, so a group of any size reduces map-side.
+    A filter on ``row_number`` is applied by Spark before the shuffle as well, so
+    each task sends on at most k rows per group and class.
     """
     wanted_bad = int(round(n_examples * error_share))
     right = F.coalesce(F.col(model) == F.col(truth), F.lit(False))
     classed = rows.withColumn("is_mistake", ~right)
-    out = []
-    for mistake, k in ((True, wanted_bad), (False, n_examples - wanted_bad)):
-        if k > 0:
-            out.append(_first_k(classed.where(F.col("is_mistake") == mistake), keys, order, k))
-    return reduce(DataFrame.unionByName, out)
-
-
-def _first_k(rows: DataFrame, keys: Sequence[str], order: str, k: int) -> DataFrame:
-    """First k rows per group by order.  Two steps: k per (group, slice), then k
-    per group, so that a frequent group is ranked in slices."""
-    slices = 64
-    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(F.col(order)), F.lit(slices)))
-    near = Window.partitionBy(*keys, "_slice").orderBy(order)
-    far = Window.partitionBy(*keys).orderBy(order)
+    most = max(wanted_bad, n_examples - wanted_bad)
+    ranks = Window.partitionBy(*keys, "is_mistake").orderBy(order)
+    wanted = F.when(F.col("is_mistake"), wanted_bad).otherwise(n_examples - wanted_bad)
     return (
-        sliced.withColumn("_r", F.row_number().over(near))
-        .where(F.col("_r") <= k)
-        .withColumn("pick", F.row_number().over(far))
-        .where(F.col("pick") <= k)
-        .drop("_slice", "_r")
+        classed.withColumn("pick", F.row_number().over(ranks))
+        .where(F.col("pick") <= most)
+        .where(F.col("pick") <= wanted)
     )
 
 

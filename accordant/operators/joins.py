@@ -10,22 +10,32 @@ from pyspark.sql import functions as F
 FREQUENT_SHARE = 1.0 / 256
 
 
-def frequent_keys(rows: DataFrame, key: str, share: float = FREQUENT_SHARE) -> DataFrame:
-    """Keys above the share; fewer than ``1/share`` rows, whatever the input."""
-    per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def key_counts(rows: DataFrame, key: str) -> DataFrame:
+    """``key, n``: rows per key, combined map-side."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequent_keys(per_key: DataFrame, key: str, share: float = FREQUENT_SHARE) -> DataFrame:
+    """Keys above the share of all rows; fewer than ``1/share``, whatever the input."""
     limit = F.greatest(per_key.agg(F.sum("n") * F.lit(share)).scalar(), F.lit(1000.0))
     return per_key.where(F.col("n") > limit).select(key)
 
 
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, key: str, share: float = FREQUENT_SHARE
+    rows: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    share: float = FREQUENT_SHARE,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to a lookup with one row per key, safe for frequent keys.
 
     Rows of frequent keys are joined by broadcasting the few lookup rows they
     need, and so never meet in one partition.  All other rows shuffle normally.
+    ``counts`` saves a pass where rows per key are known already.
     """
-    frequent = F.broadcast(frequent_keys(rows, key, share))
+    per_key = key_counts(rows, key) if counts is None else counts
+    frequent = F.broadcast(frequent_keys(per_key, key, share))
     hot = rows.join(frequent, key, "left_semi").join(
         F.broadcast(lookup.join(frequent, key, "left_semi")), key, "left"
     )

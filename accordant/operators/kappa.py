@@ -121,13 +121,14 @@ def pairwise_kappas(
     return kappas(pair_counts(patterns, ratings, keys), keys, labels, weights)
 
 
-def mean_kappas(per_pair: DataFrame, keys: Sequence[str]) -> DataFrame:
+def mean_kappas(per_pair: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
     """Mean model-human and human-human kappa; null when there is no such pair."""
     return per_pair.groupBy(*keys).agg(
         F.avg(F.when(F.col("kind") == "model_human", F.col("kappa"))).alias("mean_kappa_llm_human"),
         F.avg(F.when(F.col("kind") == "human_human", F.col("kappa"))).alias(
             "mean_human_human_agreement"
         ),
+        *extra,
     )
 
 
@@ -192,9 +193,7 @@ def run_consistency(
     chosen = facts if split is None else facts.where(F.col("split") == split)
     keys = ["prompt_name", "iteration", "run"]
     per_pair = pairwise_kappas(chosen, ratings, labels, weights, keys)
-    per_run = mean_kappas(per_pair, keys).join(
-        per_pair.groupBy(*keys).agg(F.max("n_rows").alias("samples")), keys
-    )
+    per_run = mean_kappas(per_pair, keys, F.max("n_rows").alias("samples"))
     return per_run.groupBy("prompt_name", "iteration").agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.sum("samples").alias("samples"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from accordant.functions import labels as L
 from accordant.functions import text as X
+from accordant.functions.labels import bind
 from accordant.operators.joins import lookup_join
 from accordant.session import settle
 
@@ -181,19 +182,17 @@ def key_value_blocks(text: Column) -> Column:
             ),
         ).otherwise(F.struct(F.lit("Section_1").alias("key"), X.strip(p).alias("value"))),
     )
-    keys = F.transform(pairs, lambda p: p["key"])
-    newest_first = F.reverse(pairs)
-    unique = F.transform(
-        F.array_distinct(keys),
-        lambda k: F.struct(
-            k.alias("key"),
-            F.element_at(newest_first, F.array_position(F.reverse(keys), k).cast("int"))["value"].alias(
-                "value"
+
+    def newest(entries: Column) -> Column:
+        """The entries with the last value of each key."""
+        return F.filter(
+            entries,
+            lambda p, i: ~F.exists(
+                F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == p["key"]
             ),
-        ),
-    )
-    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
-    return F.map_from_entries(F.when(repeated, unique).otherwise(pairs))
+        )
+
+    return bind(pairs, lambda entries: F.map_from_entries(newest(entries)))
 
 
 def completion_vote(
@@ -317,6 +316,7 @@ def group_validity(
     """Per group: 1 if every label is 1, else 0; a missing label counts as 0."""
     filled = df.withColumn(label, F.coalesce(F.col(label), F.lit(0)))
     verdict = filled.groupBy(group).agg(
-        F.min(F.when(F.col(label) == 1, 1).otherwise(0)).alias(as_name)
+        F.min(F.when(F.col(label) == 1, 1).otherwise(0)).alias(as_name),
+        F.count(F.lit(1)).alias("n"),
     )
-    return lookup_join(filled, verdict, group)
+    return lookup_join(filled, verdict.drop("n"), group, counts=verdict)
