@@ -341,7 +341,7 @@ def _bucketed(patterns: DataFrame, keys: Sequence[str], ratings: Ratings) -> Dat
         F.ceil(F.count(F.lit(1)) / PATTERNS_PER_TASK).alias("n_buckets")
     )
     bucket = F.pmod(F.xxhash64(*ratings.columns), F.col("n_buckets")).cast("int")
-    placed = _null_safe_join(patterns, sizes, keys).withColumn("bucket", bucket)
+    placed = patterns.join(sizes, list(keys)).withColumn("bucket", bucket)
     rows = F.sort_array(
         F.collect_list(F.struct(*[F.col(c).cast("double") for c in ratings.columns], F.col("n")))
     )
@@ -351,11 +351,7 @@ def _bucketed(patterns: DataFrame, keys: Sequence[str], ratings: Ratings) -> Dat
     totals = buckets.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("bucket", "bucket_rows"))).alias("totals")
     )
-    return _null_safe_join(buckets, totals, keys)
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys)) if keys else left.join(right)
+    return buckets.join(totals, list(keys))
 
 
 def _pair_table(values: np.ndarray, domain: np.ndarray, columns: Sequence[int]) -> np.ndarray:
@@ -445,6 +441,8 @@ def bootstrap(
     patterns, so a replicate costs the number of patterns and not N.  Draws depend
     on seed, group and replicate range only, never on the partitioning.
     """
+    if not keys:
+        raise ValueError("bootstrap needs at least one grouping column")
     columns = ratings.columns
     panels = {
         name: [columns.index(c) for c in cols]

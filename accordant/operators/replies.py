@@ -233,13 +233,13 @@ def attach_by_verbatim(
     """
     digest = F.sha2(F.col(verbatim), 256).alias("_digest")
     first = (
-        predictions.select(digest, F.col(order).alias("_order"), F.struct(label).alias("_label"))
+        predictions.select(digest, F.col(order).alias("_order"), F.col(label).alias("_label"))
         .groupBy("_digest")
         .agg(F.min_by("_label", "_order").alias("_label"))
         .withColumn("_found", F.lit(True))
     )
     joined = lookup_join(rows.select("*", digest), first, "_digest")
-    value = F.col("_label")[label]
+    value = F.col("_label")
     if default is not None:
         value = F.when(F.col("_found"), value).otherwise(F.lit(default))
     return joined.withColumn(as_name, value).drop("_digest", "_label", "_found")
