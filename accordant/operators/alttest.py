@@ -209,7 +209,14 @@ def alt_across_runs(
     keys = ["prompt_name", "iteration", "run", "split"]
     patterns = rating_patterns(facts, ratings, scenario_keys(facts), listwise=False)
     patterns = patterns.withColumn("iteration", effective_iteration(patterns))
-    sizes = patterns.groupBy(*keys).agg(F.sum("n").alias("n_rows"))
+    step = (
+        F.max("prompt_iteration")
+        if "prompt_iteration" in patterns.columns
+        else F.lit(None).cast("int")
+    )
+    sizes = patterns.groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"), step.alias("prompt_iteration")
+    )
 
     tests = by_correction(_rater_tests(patterns, ratings, keys, epsilon, "accuracy"), keys, alpha)
     run_rows = sizes.join(_summarise(tests, keys), keys, "left")
@@ -243,19 +250,29 @@ def alt_across_runs(
     )
     columns = ["prompt_name", "iteration", "run", "n_runs", "split", "n_rows"]
     columns += ["winning_rate", "passed", "avg_adv_prob", "p_values"]
-    grains = pooled.withColumn("run", F.lit("aggregated")).select(*columns)
+    columns.append("prompt_iteration")
+    grains = (
+        pooled.withColumn("run", F.lit("aggregated"))
+        .withColumn("prompt_iteration", F.lit(None).cast("int"))
+        .select(*columns)
+    )
     if per_run:
         grains = grains.unionByName(
             run_rows.withColumn("run", F.col("run").cast("string"))
             .withColumn("n_runs", F.lit(None).cast("bigint"))
             .select(*columns)
         )
-    return _by_split(grains)
+    wide = _by_split(grains)
+    keep_step = per_run and "prompt_iteration" in facts.columns
+    return wide if keep_step else wide.drop("prompt_iteration")
 
 
 def _by_split(grains: DataFrame) -> DataFrame:
     """Train and val of one scenario side by side."""
-    wide: list[Column] = [F.max("n_runs").alias("n_runs")]
+    wide: list[Column] = [
+        F.max("n_runs").alias("n_runs"),
+        F.max("prompt_iteration").alias("prompt_iteration"),
+    ]
     for split in (TRAIN, VAL):
         here = F.col("split") == split
 

@@ -172,8 +172,12 @@ def kappa_summary(
 
 
 def finish_summary(summary: DataFrame, grained: DataFrame) -> DataFrame:
-    """Add ``n_runs`` of pooled rows and ``use_validation_set``."""
-    runs = grained.groupBy(*GROUP).agg(F.count_distinct("run").alias("n_runs"))
+    """Add ``n_runs`` of pooled rows, ``use_validation_set`` and, for run rows of an
+    improved prompt, ``prompt_iteration``."""
+    extra = [
+        F.max(c).alias(c) for c in ("prompt_iteration",) if c in grained.columns
+    ]
+    runs = grained.groupBy(*GROUP).agg(F.count_distinct("run").alias("n_runs"), *extra)
     return (
         summary.join(runs, GROUP)
         .withColumn("n_runs", F.when(F.col("run_label") == AGGREGATED, F.col("n_runs")))

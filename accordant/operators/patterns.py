@@ -51,14 +51,19 @@ def effective_iteration(df: DataFrame) -> Column:
 def with_grains(patterns: DataFrame, per_run: bool) -> DataFrame:
     """Add ``run_label``: every pattern counts for the pooled grain and, if asked,
     for its own run.  Counts are additive, so raw rows are not read again."""
-    pooled = F.struct(F.col("iteration"), F.lit(AGGREGATED).alias("run_label"))
-    grains = [pooled]
+    improved = per_run and "prompt_iteration" in patterns.columns
+    step = F.col("prompt_iteration") if improved else F.lit(None)
+
+    def grain(iteration: Column, run_label: Column, shown: Column) -> Column:
+        fields = [iteration.alias("iteration"), run_label.alias("run_label")]
+        if improved:
+            fields.append(shown.cast("int").alias("prompt_iteration"))
+        return F.struct(*fields)
+
+    grains = [grain(F.col("iteration"), F.lit(AGGREGATED), F.lit(None))]
     if per_run:
         grains.append(
-            F.struct(
-                effective_iteration(patterns).alias("iteration"),
-                F.col("run").cast("string").alias("run_label"),
-            )
+            grain(effective_iteration(patterns), F.col("run").cast("string"), step)
         )
     rest = [c for c in patterns.columns if c not in ("iteration", "prompt_iteration")]
     return patterns.select(*rest, F.inline(F.array(*grains)))

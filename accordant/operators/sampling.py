@@ -14,47 +14,43 @@ _BLOCK_BITS = 16
 EVERYTHING = ("all", "annotated", -1)
 
 
-def _block_holding(counts: DataFrame, rank: Column) -> DataFrame:
-    """From ``(block, n)`` rows, the block holding the rank-th row and the rank
-    left inside it.  There are at most 2**16 blocks, so one task may order them."""
+def _block_holding(counts: DataFrame, rank: int) -> tuple[int, int, int] | None:
+    """From ``(block, n)`` rows: the block holding the rank-th row, the rank left
+    inside it and its size.  There are at most 2**16 blocks, so one task may order
+    them; one row comes back."""
     upto = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        counts.withColumn("rank", rank)
-        .withColumn("upto", upto)
-        .where(F.col("upto") >= F.col("rank"))
-        .orderBy("block")
-        .limit(1)
-        .select(F.struct("block", (F.col("rank") - F.col("upto") + F.col("n")).alias("left")).alias("hit"))
+    hit = (
+        counts.withColumn("upto", upto).where(F.col("upto") >= rank).orderBy("block").limit(1).first()
     )
+    return None if hit is None else (hit["block"], rank - hit["upto"] + hit["n"], hit["n"])
 
 
 def smallest_n(df: DataFrame, key: str, n: int, seed: int) -> Column:
     """Predicate true for exactly the n rows with the smallest ``(mix, key)``.
 
-    The n-th value is located by two rounds of block counts instead of ranking
-    rows, so no task ever sorts the table or holds n rows; the predicate is then
-    a plain filter.  Keys must be unique, as row identities are.
+    The n-th value is located by two rounds of block counts over the key column
+    instead of ranking rows, so no task ever sorts the table or holds n rows.  The
+    cut is then a pair of constants: the predicate is a plain filter that later
+    branches of a plan repeat at no cost.  Keys must be unique, as row identities are.
     """
     mixed = mix(F.col(key), seed)
     keyed = df.select(F.col(key).alias("key"), mixed.alias("mixed"))
     high = F.shiftright(F.col("mixed"), _BLOCK_BITS)
 
-    coarse = keyed.groupBy(high.alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    hit = _block_holding(coarse, F.lit(n).cast("bigint")).scalar()
-    inside = keyed.where(high == hit["block"])
-    fine = inside.groupBy(F.col("mixed").alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    exact = _block_holding(fine, hit["left"]).scalar()
-    # Rows sharing one mixed value are keys that coincide in 32 bits.
-    last = (
-        inside.where(F.col("mixed") == exact["block"])
-        .withColumn("pos", F.row_number().over(Window.orderBy("key")))
-        .where(F.col("pos") == exact["left"])
-        .select(F.struct("mixed", "key").alias("cut"))
-        .scalar()
-    )
-    below = (mixed < last["mixed"]) | ((mixed == last["mixed"]) & (F.col(key) <= last["key"]))
-    # No cut exists when the table has fewer than n rows: then all rows qualify.
-    return F.coalesce(below, F.lit(True))
+    def sizes(rows: DataFrame, block: Column) -> DataFrame:
+        return rows.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+
+    coarse = _block_holding(sizes(keyed, high), n)
+    if coarse is None:  # fewer than n rows: all of them qualify
+        return F.lit(True)
+    inside = keyed.where(high == coarse[0])
+    value, left, size = _block_holding(sizes(inside, F.col("mixed")), coarse[1])
+    if left == size:
+        return mixed <= value
+    # Keys that coincide in 32 bits: the few rows at the cut are told apart by key.
+    at_cut = inside.where(F.col("mixed") == value).orderBy("key").limit(left)
+    last = at_cut.agg(F.max("key")).first()[0]
+    return (mixed < value) | ((mixed == value) & (F.col(key) <= last))
 
 
 def exact_sample(df: DataFrame, key: str, size: int | str, seed: int = 42) -> DataFrame:

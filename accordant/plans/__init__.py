@@ -14,6 +14,7 @@ _MODULES = (
     "annotate_queries",
     "generate_queries",
     "source_queries",
+    "scenario_queries",
 )
 
 

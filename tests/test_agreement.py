@@ -388,6 +388,10 @@ def test_prompt_iteration_names_the_run_rows(spark):
     rows = {(r["prompt_name"], r["iteration"], r["run"]) for r in out}
     assert ("p_a", 3, "3") in rows and ("p_a", 1, "aggregated") in rows
     assert ("p_a", 3, "aggregated") not in rows
+    steps = {(r["iteration"], r["run"]): r["prompt_iteration"] for r in out}
+    assert steps[3, "3"] == 3 and steps[1, "aggregated"] is None
+    tests = alttest.alt_across_runs(table, tables.RATINGS).collect()
+    assert {r["prompt_iteration"] for r in tests if r["run"] != "aggregated"} == {1, 2, 3}
 
 
 def test_classification_counts(spark):
