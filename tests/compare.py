@@ -70,7 +70,7 @@ def session(cores: str = "8"):
     spark = build_session(
         "compare",
         spark__master=f"local[{cores}]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="4",
         spark__driver__memory="8g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
