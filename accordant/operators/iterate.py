@@ -126,15 +126,18 @@ def iteration_rows(
     split_keys = [*keys, "split"]
     patterns = rating_patterns(facts, ratings, split_keys, listwise=False)
     guess = F.coalesce(F.col(ratings.model), F.lit(-1))
-    truth = with_ground_truth(patterns, ratings).where(F.col(GT).isNotNull())
+    truth = with_ground_truth(patterns, ratings)
 
+    # Rows nobody rated count for nothing.  They are not filtered: a filter would
+    # sink below the patterns and the facts would be read a second time.
+    judged = F.when(F.col(GT).isNotNull(), F.col("n"))
     cells = truth.groupBy(
         *split_keys,
         F.lit("gt_vs_model").alias("pair"),
         F.lit("gt_model").alias("kind"),
         F.col(GT).alias("a"),
         guess.alias("b"),
-    ).agg(F.sum("n").alias("n"))
+    ).agg(F.sum(judged).alias("n"))
     agreement = kappas(cells, split_keys, labels).withColumn(
         "accuracy", F.col("n_equal") / F.col("n_rows")
     )
