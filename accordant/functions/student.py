@@ -59,7 +59,8 @@ def t_cdf(t: float, df: float) -> float:
         density = math.exp(-0.5 * t * t) / math.sqrt(2.0 * math.pi)
         first = t * (t * t + 1.0) / (4.0 * df)
         second = t * (3.0 * t**6 - 7.0 * t**4 - 5.0 * t * t - 3.0) / (96.0 * df * df)
-        return 0.5 * math.erfc(-t / math.sqrt(2.0)) - density * (first + second)
+        value = 0.5 * math.erfc(-t / math.sqrt(2.0)) - density * (first + second)
+        return min(1.0, max(0.0, value))
     tail = 0.5 * _inc_beta(0.5 * df, 0.5, df / (df + t * t))
     return tail if t < 0 else 1.0 - tail
 

@@ -40,7 +40,7 @@ ts2 AS (SELECT *, (mean_d - {eps}) / sqrt(var / n) AS t, CAST(n - 1 AS DOUBLE) A
 ts3 AS (SELECT *, least(abs(atan(t / sqrt(v))), 14 / sqrt(v)) AS top FROM ts2),
 ts4 AS (SELECT {k}, rater, max(top) / 3000 / 3 * sum(CASE WHEN i = 0 OR i = 3000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp((v - 1) * ln(cos(top * i / 3000)))) AS area
   FROM ts3 CROSS JOIN (SELECT unnest(generate_series(0, 3000)) AS i) GROUP BY {k}, rater),
-tt AS (SELECT {k}, rater, rater_no, n, rho_f, rho_h, mean_d, t, 0.5 + sign(t) * area * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) AS p FROM ts2 JOIN ts4 USING ({k}, rater)),
+tt AS (SELECT {k}, rater, rater_no, n, rho_f, rho_h, mean_d, t, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5 + sign(t) * area * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()))) AS p FROM ts2 JOIN ts4 USING ({k}, rater)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY p NULLS LAST, rater_no) AS kk, count(*) OVER (PARTITION BY {k}) AS m FROM tt),
 ck AS (SELECT *, max(CASE WHEN p <= kk * 0.05 / (m * list_sum(list_transform(generate_series(1, m), lambda i: 1.0 / i))) THEN kk END) OVER (PARTITION BY {k}) AS last FROM rk),
 te AS (SELECT *, coalesce(kk <= last, FALSE) AS rejected FROM ck)"""
