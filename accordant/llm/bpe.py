@@ -249,7 +249,8 @@ def encode(text: str | Column, path: str) -> Column:
     def run(column: pa.Array) -> pa.Array:
         return pa.array(vocabulary(path).encode([t or "" for t in column.to_pylist()]), pa.binary())
 
-    return run(F.col(text) if isinstance(text, str) else text)
+    # So marked, Spark computes it once where two later columns use it.
+    return run.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
 def decode(ids: str | Column, path: str) -> Column:
