@@ -11,13 +11,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 from accordant.llm.common import worker_cache
@@ -30,8 +30,8 @@ LATIN, NUMBERS, SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9
 LATIN_WORD = f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[{NUMBERS}]|[^{SPACES}{LATIN}{NUMBERS}]+"
 
 NEVER = np.int64(2**62)
-WORDS_KEPT = 800_000
-TEXTS_AT_ONCE = 1024
+WORDS_KEPT = 500_000
+TEXTS_AT_ONCE = 256
 
 
 def _byte_letters() -> list[str]:
@@ -237,28 +237,52 @@ def vocabulary(path: str) -> WordBpe:
     return worker_cache(("bpe", path), lambda: WordBpe(path))
 
 
-def encode(text: str | Column, path: str) -> Column:
-    """Ids of each text as binary, four little-endian bytes per id.
+def _added(df: DataFrame, columns: dict[str, str]) -> StructType:
+    """The columns of a table with some added; an added one replaces its namesake."""
+    kept = [f for f in df.schema.fields if f.name not in columns]
+    return StructType([*kept, *(StructField(n, {"binary": BinaryType(), "string": StringType()}[k]) for n, k in columns.items())])
 
-    Null and empty texts give empty binaries; equal texts give equal ids; a text
-    of any length is encoded whole.  No special token is added, and those spelt
-    out in a text become their own id.
+
+def _mapped(df: DataFrame, source: str, columns: dict[str, str], make: Callable[[list], list[list]]) -> DataFrame:
+    """Add columns made from one column, a few rows at a time."""
+    schema = _added(df, columns)
+    kept = [f.name for f in schema.fields[: -len(columns)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                made = make(part[source].to_pylist())
+                arrays = [pa.array(m, getattr(pa, kind)()) for m, kind in zip(made, columns.values())]
+                yield pa.RecordBatch.from_arrays([*(part[n] for n in kept), *arrays], names=[*kept, *columns])
+
+    return df.mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """Add each text's ids as a binary column, four little-endian bytes per id.
+
+    With ``decoded_col`` the text those ids decode to is added as well, in the
+    same pass.  Null and empty texts give empty binaries; equal texts give equal
+    ids; a text of any length is encoded whole; an empty table gives an empty
+    one.  No special token is added, and those spelt out in a text become their
+    own id.  All other columns stay; a column named as a new one is replaced.
     """
+    columns = {ids_col: "binary"} | ({decoded_col: "string"} if decoded_col else {})
 
-    @F.arrow_udf("binary")
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array(vocabulary(path).encode([t or "" for t in column.to_pylist()]), pa.binary())
+    def make(texts: list) -> list[list]:
+        bpe = vocabulary(path)
+        ids = bpe.encode([t or "" for t in texts])
+        return [ids, list(map(bpe.decode, ids))] if decoded_col else [ids]
 
-    # So marked, Spark computes it once where two later columns use it.
-    return run.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
+    return _mapped(df, text_col, columns, make)
 
 
-def decode(ids: str | Column, path: str) -> Column:
-    """The tokens of each binary of ids joined by spaces; null counts as empty."""
+def decode(df: DataFrame, path: str, *, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """Add the tokens of each binary of ids, joined by spaces; null counts as empty."""
 
-    @F.arrow_udf("string")
-    def run(column: pa.Array) -> pa.Array:
+    def make(ids: list) -> list[list]:
         bpe = vocabulary(path)
-        return pa.array([bpe.decode(b or b"") for b in column.to_pylist()], pa.string())
+        return [[bpe.decode(b or b"") for b in ids]]
 
-    return run(F.col(ids) if isinstance(ids, str) else ids)
+    return _mapped(df, ids_col, {decoded_col: "string"}, make)

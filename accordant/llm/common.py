@@ -44,3 +44,9 @@ def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
 
 def text_or_empty(name: str):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one, as a URI that tasks can open themselves."""
+    path = scratch_path(spark, name)
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe
-from accordant.llm.common import table
+from accordant.llm import bpe, packing, token_files
+from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,12 +27,25 @@ def vocab_path() -> str:
 @query
 def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
-    docs = table(spark, sf, "documents")
-    ids = docs.select("doc_id", bpe.encode("text", vocab_path()).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe.decode("ids", vocab_path()).alias("decoded"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    both = bpe.encode(docs, vocab_path(), decoded_col="decoded")
     return both.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents packed into sequences of 2048."""
+    return packing.pack(table(spark, sf, "documents"), vocab_path())
+
+
+@query
+def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents written to token files and read back from them."""
+    folder = shared_uri(spark, "token-files")
+    manifest = keep(token_files.write(table(spark, sf, "documents"), folder, vocab_path()), "token-manifest")
+    return token_files.read(manifest)
