@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, packing, token_files
+from accordant.llm import bpe, packing, token_files, topk
 from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,27 @@ def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_uri(spark, "token-files")
     manifest = keep(token_files.write(table(spark, sf, "documents"), folder, vocab_path()), "token-manifest")
     return token_files.read(manifest)
+
+
+@query
+def op3_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Five best inner products for every 50th vector against all."""
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op3_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s
+QUALIFY rank <= 5
+"""
