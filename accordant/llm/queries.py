@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, packing, token_files, topk
+from accordant.llm import bpe, near_vectors, packing, token_files, topk
 from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,31 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s
 QUALIFY rank <= 5
 """
+
+
+@query
+def op2_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Links, component and survivor of every vector at cosine 0.9."""
+    return near_vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
+ORACLE["op2_near_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+), r(a, b) AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a, least(a, min(b)) AS root FROM r GROUP BY a
+), k AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT e.vec_id, coalesce(k.n, 0) AS n_links, coalesce(c.root, e.vec_id) AS component_id,
+       e.vec_id = coalesce(c.root, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN k ON k.a = e.vec_id
+"""
