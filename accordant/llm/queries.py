@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, near_vectors, packing, token_files, topk
+from accordant.llm import bpe, near_docs, near_vectors, packing, token_files, topk
 from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ SELECT e.vec_id, coalesce(k.n, 0) AS n_links, coalesce(c.root, e.vec_id) AS comp
        e.vec_id = coalesce(c.root, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN k ON k.a = e.vec_id
 """
+
+
+@query
+def op7_near_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Shingles, component and survivor of every document at similarity 0.75."""
+    return near_docs.near_docs(table(spark, sf, "documents"))
