@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, near_docs, near_vectors, packing, token_files, topk
+from accordant.llm import bpe, near_docs, near_vectors, packing, token_files, topk, toxicity
 from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN k ON k.a = e.vec_id
 def op7_near_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Shingles, component and survivor of every document at similarity 0.75."""
     return near_docs.near_docs(table(spark, sf, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document, learnt outside the held-out fold."""
+    return toxicity.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
