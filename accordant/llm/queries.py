@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, near_docs, near_vectors, packing, token_files, topk, toxicity
+from accordant.llm import bpe, html_text, near_docs, near_vectors, packing, token_files, topk, toxicity
 from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ def op7_near_docs(spark: SparkSession, sf: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity of every document, learnt outside the held-out fold."""
     return toxicity.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf, "pages"))
