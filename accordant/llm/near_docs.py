@@ -17,11 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accordant.llm.clusters import cluster
 from accordant.llm.common import keep, worker_cache
-from accordant.llm.components import components
 
-SIGNED = "doc_id long, n_shingles long, class binary, signature binary"
-SETS = "doc_id long, shingles binary"
+SIGNED = "doc_id long, n_shingles long, class binary, keys array<long>"
+EVIDENCE = "doc_id long, n_shingles long, signature binary, shingles binary"
 WORDS_KEPT = 400_000
 SHINGLES_AT_ONCE = 4096
 TEXTS_AT_ONCE = 256
@@ -123,11 +123,11 @@ def truly_similar(left: Column, right: Column, percent: int) -> Column:
     return run(left, right)
 
 
-def signed(docs: DataFrame, width: int, size: int) -> DataFrame:
-    """Set size, class key and signature of each document; both null without words."""
+def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """Set size, class key and bucket keys of each document; both null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = worker_cache(("minhash", size), lambda: MinHash(size))
+        sign = worker_cache(("minhash", bands * rows), lambda: MinHash(bands * rows))
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
@@ -137,23 +137,36 @@ def signed(docs: DataFrame, width: int, size: int) -> DataFrame:
                         part["doc_id"],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([sign(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([bucket_keys(sign(s), bands) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "class", "signature"],
+                    names=["doc_id", "n_shingles", "class", "keys"],
                 )
 
     return docs.mapInArrow(run, SIGNED)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def bucket_keys(signature: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit key per band."""
+    out = np.arange(bands, dtype=np.uint64)
+    for column in signature.reshape(bands, -1).T:
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1))
+    return out.view(np.int64)
+
+
+def _evidence(docs: DataFrame, width: int, size: int) -> DataFrame:
+    """Signature and full shingle set of each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = worker_cache(("minhash", size), lambda: MinHash(size))
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
-                sets = [shingle_set(t, width).astype("<u8").tobytes() for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                sets = [shingle_set(t, width) for t in part["text"].to_pylist()]
+                columns = [[sign(s).tobytes() for s in sets], [s.astype("<u8").tobytes() for s in sets]]
+                arrays = [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "signature", "shingles"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(run, EVIDENCE)
 
 
 def near_docs(
@@ -180,50 +193,33 @@ def near_docs(
     null id stays, with a null component, and takes no part.  Extra columns are
     left out.
 
-    Inside a bucket pairs are never all listed: members meet the bucket's first
-    document, and in a second turn only members that are still in different
-    components meet each other.  Pairs of one component need no check.
+    Only documents that share a bucket are read again, once, for their
+    signatures and sets.  Joins that grow with the documents are merge joins.
     """
     size = bands * rows
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    all_signed = keep(signed(plain, width, size), "signed")
+    all_signed = keep(signed(plain, width, bands, rows), "signed")
     some = all_signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     reps = some.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    classes = some.join(reps, "class")
-    nodes = classes.where(F.col("doc_id") == F.col("rep")).dropDuplicates(["class"])
-    nodes = keep(nodes.select(F.col("doc_id").alias("rep"), "n_shingles", "signature"), "nodes")
-
-    band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
-    keys = nodes.select("rep", "signature", band)
-    keys = keys.select("rep", F.xxhash64("band", F.expr(f"substring(signature, band * {4 * rows} + 1, {4 * rows})")).alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    members = keep(keys.join(firsts, "key"), "members")
+    nodes = some.select("class", F.col("doc_id").alias("rep"), "keys").join(reps.hint("merge"), ["class", "rep"])
+    keys = nodes.select("rep", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
+    members = keep(keys.join(shared.hint("merge"), "key").distinct(), "members")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    evidence = keep(_evidence(plain.join(wanted.hint("merge"), "doc_id", "left_semi"), width, size), "evidence")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The linked ones among pairs ``a, b`` of documents."""
-        one = nodes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-        two = nodes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
-        near = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        near = keep(near.where(likely_similar(F.col("sa"), F.col("sb"), size, percent / 100, miss, batch)).select("a", "b").distinct(), "likely")
-        wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        sets = keep(_sets(plain.join(wanted, "doc_id", "left_semi"), width), "sets")
-        full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-        full = full.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        return full.where(truly_similar(F.col("sa"), F.col("sb"), percent)).select("a", "b")
-
-    met = members.where(F.col("rep") != F.col("first")).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = keep(verified(met), "links")
-    roots = components(links, "a", "b").withColumnRenamed("id", "rep")
-    placed = members.join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = keep(placed.join(mixed, "key"), "apart")
-    one = apart.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"))
-    two = apart.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"))
-    unmet = one.join(two, "key").where("ra <> rb and a < b").select("a", "b").distinct().join(met, ["a", "b"], "left_anti")
-    more = keep(verified(unmet), "links")
-    roots = components(links.union(more), "a", "b").withColumnRenamed("id", "rep")
-
-    ends = reps.join(roots, "rep", "left").select("class", F.coalesce("root", "rep").alias("root"))
-    out = all_signed.select("doc_id", "n_shingles", "class").join(ends, "class", "left")
+        def side(name: str, what: str) -> DataFrame:
+            return evidence.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col(what).alias(f"x{name}")).hint("merge")
+
+        near = pairs.join(side("a", "signature"), "a").join(side("b", "signature"), "b")
+        near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        near = keep(near.where(likely_similar(F.col("xa"), F.col("xb"), size, percent / 100, miss, batch)).select("a", "b").distinct(), "likely")
+        full = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+        return full.where(truly_similar(F.col("xa"), F.col("xb"), percent)).select("a", "b").distinct()
+
+    roots = cluster(members, verified).withColumnRenamed("id", "rep")
+    ends = reps.join(roots.hint("merge"), "rep", "left").select("class", F.coalesce("root", "rep").alias("root"))
+    out = all_signed.select("doc_id", "n_shingles", "class").join(ends.hint("merge"), "class", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
