@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, html_text, near_docs, near_vectors, packing, token_files, topk, toxicity
+from accordant.llm import bpe, html_text, near_docs, near_vectors, packing, secrets, token_files, topk, toxicity
 from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,9 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf, "pages"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets of every document, judged by who owns them."""
+    return secrets.digest(secrets.scan(table(spark, sf, "documents")))
