@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, html_text, near_docs, near_vectors, packing, secrets, token_files, topk, toxicity
+from accordant.llm import bpe, html_text, line_dedup, near_docs, near_vectors, packing, secrets, token_files, topk, toxicity
 from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of every document, judged by who owns them."""
     return secrets.digest(secrets.scan(table(spark, sf, "documents")))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without lines that resemble an earlier one."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
