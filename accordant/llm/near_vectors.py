@@ -26,6 +26,7 @@ FOUND = "rep long, links long, root long"
 TILE = 1024
 AT_ONCE = 32_768
 SLACK = 1e-6  # relative; covers rounding of squared distances
+SINGLE = 1e-5  # absolute; covers single precision in the first comparison
 
 
 class Subspaces(NamedTuple):
@@ -123,7 +124,10 @@ def _link(space: Subspaces, block: int, threshold: float, vectors: np.ndarray, w
     turned = unit @ space.rotation
     a, b = space.starts[block], space.starts[block + 1]
     part = turned[:, a:b]
-    size = np.square(part).sum(1)
+    # One product of these gives minus half the squared distance in the block.
+    half, ones = np.square(part).sum(1, keepdims=True) / -2, np.ones((len(part), 1))
+    ahead = np.concatenate([part, ones, half], 1).astype(np.float32)
+    behind = np.concatenate([part, half, ones], 1).astype(np.float32)
     norm = np.linalg.norm(scaled, axis=1)
     share = np.array(space.shares) * (1 + SLACK)
     links, forest = np.zeros(len(vectors), np.int64), Forest(len(vectors))
@@ -132,8 +136,7 @@ def _link(space: Subspaces, block: int, threshold: float, vectors: np.ndarray, w
         rows = left[i : i + TILE]
         for j in range(i if same else 0, len(right), TILE):
             cols = right[j : j + TILE]
-            apart = size[rows][:, None] + size[cols] - 2 * (part[rows] @ part[cols].T)
-            x, y = np.nonzero(apart <= share[block] + 1e-9)
+            x, y = np.divmod(np.flatnonzero(ahead[rows] @ behind[cols].T >= share[block] / -2 - SINGLE), len(cols))
             x, y = rows[x], cols[y]
             if same and i == j:
                 x, y = x[x < y], y[x < y]
