@@ -47,6 +47,10 @@ def spans_of(text: Column, matches: Column, values: Column, pattern: str, kind:
     return F.aggregate(parts, start, step)["out"]
 
 
+def long_enough(spans: Column, least: int) -> Column:
+    return F.filter(spans, lambda s: F.length(s["value"]) >= least)
+
+
 def proposed(docs: DataFrame, carried: list[str]) -> DataFrame:
     """Base spans and further candidates of each row's ``text``, by start and kind."""
     found = docs
@@ -64,8 +68,7 @@ def proposed(docs: DataFrame, carried: list[str]) -> DataFrame:
         matches = F.col(f"m_{kind}")
         values = F.col(f"v_{kind}") if group else matches
         spans = spans_of(F.col("text"), matches, values, pattern, kind)
-        spans = F.filter(spans, lambda s, least=least: F.length(s["value"]) >= least)
-        found = found.withColumn(f"s_{kind}", F.when(F.size(matches) > 0, spans).otherwise(none))
+        found = found.withColumn(f"s_{kind}", F.when(F.size(matches) > 0, long_enough(spans, least)).otherwise(none))
     base = F.flatten(F.array(*[F.col(f"s_{k}") for k in BASE]))
     more = F.flatten(F.array(*[F.col(f"s_{k}") for k in MORE]))
 
