@@ -255,6 +255,43 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return model
 
 
+class Scorer:
+    """A model as tasks carry it: only weights that are not zero."""
+
+    def __init__(self, model: Model):
+        slots = np.flatnonzero(model.weights)
+        self.sparse = (slots, model.weights[slots], model.move, model.bias, model.slope)
+        self.key = zlib.crc32(model.weights.tobytes() + model.move.tobytes())
+
+    def thaw(self) -> tuple[Model, dict[str, float]]:
+        weights = np.zeros(SLOTS)
+        weights[self.sparse[0]] = self.sparse[1]
+        return Model(weights, *self.sparse[2:]), {}
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Score and hazard of each text, and the chance of each of its words."""
+        field, known = worker_cache(("toxicity", self.key), self.thaw)
+        chances = field.hazards([tokens(t or "") for t in texts], known)
+        hazard = np.array([-np.log1p(-np.minimum(c, 1 - 1e-12)).sum() for c in chances])
+        return Model(np.zeros(0), *self.sparse[2:]).score(hazard), hazard, chances
+
+
+def spans(text: str, chance: np.ndarray, least: float) -> list[dict]:
+    """Runs of adjacent words that are likely toxic, in code points of the text."""
+    out: list[dict] = []
+    if not (chance >= least).any():
+        return out
+    before = False
+    low = text.lower()
+    for match, p in zip(FIND.finditer(text if len(low) != len(text) else low), chance.tolist()):
+        if p >= least and before:
+            out[-1] |= {"end": match.end(), "probability": max(p, out[-1]["probability"])}
+        elif p >= least:
+            out.append({"start": match.start(), "end": match.end(), "probability": p})
+        before = p >= least
+    return out
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """Score, hazard and offending spans of each document: one row per row.
 
@@ -264,49 +301,34 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     hazard 0 and the lowest score.  Other columns are left out.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    key = zlib.crc32(model.weights.tobytes() + model.move.tobytes())
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("hazard", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))])
-    slots = np.flatnonzero(model.weights)
-    sparse = (slots, model.weights[slots], model.move, model.bias, model.slope)
-
-    def thaw() -> tuple[Model, dict[str, float]]:
-        weights = np.zeros(SLOTS)
-        weights[sparse[0]] = sparse[1]
-        return Model(weights, *sparse[2:]), {}
-
-    def spans(text: str, chance: np.ndarray) -> list[dict]:
-        out: list[dict] = []
-        if not (chance >= least).any():
-            return out
-        before = False
-        low = text.lower()
-        source = text if len(low) != len(text) else low
-        for match, p in zip(FIND.finditer(source), chance.tolist()):
-            if p >= least and before:
-                out[-1] |= {"end": match.end(), "probability": max(p, out[-1]["probability"])}
-            elif p >= least:
-                out.append({"start": match.start(), "end": match.end(), "probability": p})
-            before = p >= least
-        return out
+    scorer = Scorer(model)
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, known = worker_cache(("toxicity", key), thaw)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
-                texts = [t or "" for t in part["text"].to_pylist()]
-                chances = field.hazards([tokens(t) for t in texts], known)
-                hazard = np.array([-np.log1p(-np.minimum(c, 1 - 1e-12)).sum() for c in chances])
-                found = [spans(t, c) for t, c in zip(texts, chances)]
-                arrays = [part["doc_id"], pa.array(field_score(hazard)), pa.array(hazard), pa.array(found, schema.field("spans").type)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    def field_score(hazard: np.ndarray) -> np.ndarray:
-        return Model(np.zeros(0), sparse[2], sparse[3], sparse[4]).score(hazard)
+                texts = part["text"].to_pylist()
+                scores, hazard, chances = scorer(texts)
+                found = [spans(t or "", c, least) for t, c in zip(texts, chances)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(scores), pa.array(hazard), pa.array(found, span)], names=["doc_id", "score", "hazard", "spans"])
 
     return plain.mapInArrow(run, SCORED)
 
 
+def below(docs: DataFrame, model: Model, threshold: float, *, text_col: str = "text") -> DataFrame:
+    """The rows that score below the threshold, with all their columns."""
+    scorer = Scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                yield part.filter(pa.array(scorer(part[text_col].to_pylist())[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judged(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
     """Train on the labelled part of the documents and score them all."""
     out = score(docs, train(docs, labels))
