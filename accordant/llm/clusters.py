@@ -11,15 +11,26 @@ from accordant.llm.common import keep
 from accordant.llm.components import components
 
 
-def cluster(members: DataFrame, verified: Callable[[DataFrame], DataFrame], *, rounds: int = 2, leaders: int = 4) -> DataFrame:
+def cluster(
+    members: DataFrame,
+    verified: Callable[[DataFrame], DataFrame],
+    *,
+    rounds: int = 1,
+    leaders: int = 4,
+    compare: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Components (``id``, ``root``) of all verified pairs within buckets.
 
     ``members`` has ``key`` and ``rep``, each pair once; ``verified`` keeps the
     linked ones among pairs ``a < b``.  First everyone meets the bucket's
     smallest node.  Then, in buckets that still hold several components, nodes
-    meet some leaders chosen by hash, ``rounds`` times.  Pairs still in different
-    components after that are all compared, so no component is missed; pairs of
-    one component need no check.  Each turn before the last is linear in members.
+    meet some leaders chosen by hash, ``rounds`` times.  What is still apart
+    after that is compared in full, so no component is missed; pairs of one
+    component need no check.
+
+    ``compare`` does that last turn: it gets ``key, rep, root, n`` (members of
+    the bucket) and returns enough links ``a, b`` to join what belongs together.
+    Without it, pairs are joined and verified.
     """
     firsts = members.groupBy("key").agg(F.min("rep").alias("lead"))
     pairs = members.join(firsts.hint("merge"), "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
@@ -28,8 +39,11 @@ def cluster(members: DataFrame, verified: Callable[[DataFrame], DataFrame], *, r
     roots = components(links, "a", "b")
     for turn in range(rounds + 1):
         placed = members.join(roots.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
         apart = keep(placed.join(mixed.hint("merge"), "key"), "apart")
+        if turn == rounds and compare is not None:
+            links = links.union(keep(compare(apart), "linked"))
+            return components(links, "a", "b")
         one = apart.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"))
         if turn < rounds:
             by_hash = [F.min(F.struct(F.xxhash64(F.lit(turn * leaders + i), "rep"), F.col("rep").alias("b"), F.col("root").alias("rb"))) for i in range(leaders)]

@@ -146,9 +146,9 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def bucket_keys(signature: np.ndarray, bands: int) -> np.ndarray:
-    """One 64-bit key per band."""
-    out = np.arange(bands, dtype=np.uint64)
-    for column in signature.reshape(bands, -1).T:
+    """One 64-bit key per band, for one signature or for each row of a matrix."""
+    out = np.broadcast_to(np.arange(bands, dtype=np.uint64), (*signature.shape[:-1], bands))
+    for column in np.moveaxis(signature.reshape(*signature.shape[:-1], bands, -1), -1, 0):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1))
     return out.view(np.int64)
 
@@ -169,6 +169,71 @@ def _evidence(docs: DataFrame, width: int, size: int) -> DataFrame:
     return docs.mapInArrow(run, EVIDENCE)
 
 
+class Unit:
+    """Members of one bucket, or of two parts of it, that are to be compared."""
+
+    def __init__(self, reps: np.ndarray, roots: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray]):
+        self.reps, self.signatures, self.sets = reps, signatures, sets
+        self.root = np.unique(roots, return_inverse=True)[1]
+        self.size = np.array(list(map(len, sets)), np.int64)
+
+    def links(self, left: np.ndarray, right: np.ndarray | None, key: int, bands: int, percent: int, steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Links that join components, pair by pair until none is left to join.
+
+        A pair that shares several buckets is left to the first of them.
+        """
+        keys = bucket_keys(self.signatures, bands)
+        out = []
+        for place, i in enumerate(left.tolist()):
+            others = left[place + 1 :] if right is None else right
+            sizes = self.size[others]
+            fits = np.minimum(sizes, self.size[i]) * 100 >= np.maximum(sizes, self.size[i]) * percent
+            others = others[fits & (self.root[others] != self.root[i])]
+            if not len(others):
+                continue
+            equal_keys = keys[others] == keys[i]
+            others = others[keys[i][equal_keys.argmax(1)] == key]
+            begin, matches = 0, np.zeros(len(others), np.int64)
+            for upto, least in steps:
+                matches += (self.signatures[others, begin:upto] == self.signatures[i, begin:upto]).sum(1)
+                others, matches, begin = others[matches >= least], matches[matches >= least], upto
+            for j in others.tolist():
+                if self.root[j] != self.root[i]:
+                    common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+                    if 100 * common >= percent * (self.size[i] + self.size[j] - common):
+                        out.append((int(self.reps[i]), int(self.reps[j])))
+                        self.root[self.root == self.root[j]] = self.root[i]
+        return out
+
+
+def compared(apart: DataFrame, evidence: DataFrame, bands: int, size: int, percent: int, steps: list[tuple[int, int]], chunk: int) -> DataFrame:
+    """Links between components of a bucket, found inside tasks.
+
+    Buckets beyond ``chunk`` members are split by hash, and every part meets
+    every part, so a task holds two parts at most and returns no more links than
+    they have members.
+    """
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    placed = apart.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    units = placed.select("key", "rep", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    units = units.select("key", "rep", "root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part")
+    seen = evidence.select(F.col("doc_id").alias("rep"), "signature", "shingles").dropDuplicates(["rep"])
+    full = units.join(seen.hint("merge"), "rep")
+
+    def run(unit: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(s, "<u8") for s in unit["shingles"].to_pylist()]
+        signatures = np.frombuffer(b"".join(unit["signature"].to_pylist()), "<u4").reshape(-1, size)
+        low, high, part = (unit[n].to_numpy() for n in ("low", "high", "part"))
+        one = Unit(unit["rep"].to_numpy(), unit["root"].to_numpy(), signatures, sets)
+        every = np.arange(len(sets))
+        same = low[0] == high[0]
+        left, right = (every, None) if same else (every[part == low], every[part == high])
+        found = one.links(left, right, unit["key"][0].as_py(), bands, percent, steps)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return full.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def near_docs(
     docs: DataFrame,
     *,
@@ -180,6 +245,7 @@ def near_docs(
     rows: int = 5,
     batch: int = 32,
     miss: float = 1e-6,
+    chunk: int = 256,
 ) -> DataFrame:
     """Each document's shingle count, component and whether it is kept.
 
@@ -218,7 +284,9 @@ def near_docs(
         full = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
         return full.where(truly_similar(F.col("xa"), F.col("xb"), percent)).select("a", "b").distinct()
 
-    roots = cluster(members, verified).withColumnRenamed("id", "rep")
+    steps = [(n, least_matches(n, percent / 100, miss)) for n in range(batch, size + 1, batch)]
+    roots = cluster(members, verified, rounds=0, compare=lambda apart: compared(apart, evidence, bands, size, percent, steps, chunk))
+    roots = roots.withColumnRenamed("id", "rep")
     ends = reps.join(roots.hint("merge"), "rep", "left").select("class", F.coalesce("root", "rep").alias("root"))
     out = all_signed.select("doc_id", "n_shingles", "class").join(ends.hint("merge"), "class", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
