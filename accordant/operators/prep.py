@@ -83,11 +83,27 @@ def label_types(df: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def convert_labels(df: DataFrame, names: Sequence[str], label_type: str = "auto") -> DataFrame:
+def convert_labels(
+    df: DataFrame, names: Sequence[str], label_type: str = "auto", unreadable: str = "error"
+) -> DataFrame:
     """Labels as bigint (``int``), string (``str``) or whichever fits (``auto``).
 
     ``auto`` decides per column and needs one aggregate; a given type does not.
+    With ``int`` a label that is no whole number is an error, or becomes null if
+    ``unreadable`` is ``null``; spellings of a missing cell are null either way.
     """
+    if unreadable not in ("error", "null"):
+        raise ValueError("unreadable must be error or null")
+
+    def whole(name: str):
+        value = F.trim(F.col(name).cast("string"))
+        given = value.isNotNull() & ~value.isin(*L.MISSING_TOKENS)
+        bad = F.lit(None).cast("bigint")
+        if unreadable == "error":
+            bad = F.raise_error(F.concat(F.lit("not an integer label: "), value)).cast("bigint")
+        number = L.to_integer(F.col(name), "null")
+        return F.when(given & number.isNull(), bad).otherwise(number)
+
     if label_type == "auto":
         kinds = {r["column_name"]: r["label_type"] for r in label_types(df, names).collect()}
     elif label_type in ("int", "str"):
@@ -96,7 +112,7 @@ def convert_labels(df: DataFrame, names: Sequence[str], label_type: str = "auto"
         return df
     return df.withColumns(
         {
-            n: F.floor(L.to_number(F.col(n))) if k == "int" else F.col(n).cast("string")
+            n: whole(n) if k == "int" else F.col(n).cast("string")
             for n, k in kinds.items()
         }
     )

@@ -25,16 +25,17 @@ def _block_holding(counts: DataFrame, rank: int) -> tuple[int, int, int] | None:
     return None if hit is None else (hit["block"], rank - hit["upto"] + hit["n"], hit["n"])
 
 
-def smallest_n(df: DataFrame, key: str, n: int, seed: int) -> Column:
+def smallest_n(df: DataFrame, key: str, n: int, seed: int, use: str = "") -> Column:
     """Predicate true for exactly the n rows with the smallest ``(mix, key)``.
 
     The n-th value is located by two rounds of block counts over the key column
     instead of ranking rows, so no task ever sorts the table or holds n rows.  The
     cut is then a pair of constants: the predicate is a plain filter that later
-    branches of a plan repeat at no cost.  Keys must be unique, as row identities are.
+    branches of a plan repeat at no cost.  Keys may be of any type, but must be unique,
+    as row identities are; a row without one is never chosen.
     """
-    mixed = mix(F.col(key), seed)
-    keyed = df.select(F.col(key).alias("key"), mixed.alias("mixed"))
+    mixed = mix(F.col(key), seed, use)
+    keyed = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), mixed.alias("mixed"))
     high = F.shiftright(F.col("mixed"), _BLOCK_BITS)
 
     def sizes(rows: DataFrame, block: Column) -> DataFrame:
@@ -59,14 +60,14 @@ def exact_sample(df: DataFrame, key: str, size: int | str, seed: int = 42) -> Da
         return df
     if int(size) <= 0:
         raise ValueError("sample size must be positive")
-    return df.where(smallest_n(df, key, int(size), seed))
+    return df.where(smallest_n(df, key, int(size), seed, "sample"))
 
 
 def train_val_split(df: DataFrame, key: str, validation_size: int, seed: int = 42) -> DataFrame:
     """Add ``split``: exactly ``validation_size`` rows are ``val``."""
     if validation_size <= 0:
         return df.withColumn("split", F.lit(TRAIN))
-    chosen = smallest_n(df, key, validation_size, seed)
+    chosen = smallest_n(df, key, validation_size, seed, "split")
     return df.withColumn("split", F.when(chosen, VAL).otherwise(TRAIN))
 
 

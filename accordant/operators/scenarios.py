@@ -14,6 +14,7 @@ from accordant.operators import iterate, replies, sampling
 from accordant.operators.patterns import GT
 from accordant.operators.prompts import scenario_prompt
 from accordant.schema import TRAIN, VAL, Ratings, require_columns
+from accordant.session import settle
 
 # (current prompt, example rows, history) -> (new prompt, description of the change)
 Rewriter = Callable[[str, list[dict], list[dict]], tuple[str, str] | None]
@@ -56,6 +57,12 @@ def split_sample(data: DataFrame, scenario: Scenario, key: str) -> DataFrame:
     return sampling.train_val_split(sample, key, size, scenario.random_state)
 
 
+def call_partitions(rows: DataFrame) -> int:
+    """Calls wait on a service, so they are spread however few files the rows came in."""
+    spark = rows.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def predict(
     rows: DataFrame,
     scenario: Scenario,
@@ -73,7 +80,7 @@ def predict(
     require_columns(rows, [*ids, verbatim])
     asked = rows.select(*ids, scenario_prompt(prompt, F.col(verbatim)).alias("prompt"))
     answered = replies.annotate_batch(
-        asked, annotator, scenario.n_completions, durable=True
+        asked, annotator, scenario.n_completions, partitions=call_partitions(rows), durable=True
     ).drop("prompt")
     text = F.col("response_text")
     label = (
@@ -135,7 +142,7 @@ def improve_prompt(
     and the few example rows reach the driver.
     """
     ratings = Ratings.of(raters)
-    sample = split_sample(data, scenario, key).withColumn(
+    sample = settle(split_sample(data, scenario, key)).withColumn(
         GT, majority_vote([F.col(r) for r in raters])
     )
     judged = VAL if scenario.use_validation_set and scenario.validation_size > 0 else TRAIN
@@ -175,7 +182,9 @@ def improve_prompt(
             "is_mistake",
         )
         shown = [r.asDict() for r in examples.collect()]
-        if not any(r["is_mistake"] for r in shown):
+        trained = facts.where(F.col("split") == TRAIN)
+        right = F.coalesce(F.col("model_pred") == F.col(GT), F.lit(False))
+        if trained.where(~right).limit(1).count() == 0:
             break
         if step < scenario.max_iterations:
             answer = rewriter(current, shown, history)

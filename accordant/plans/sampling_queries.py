@@ -12,13 +12,13 @@ from accordant.plans.tables import FACTS_SQL, facts, items, table
 SAMPLE, VALIDATION = 700, 300
 
 
-def mix_sql(key: str, seed: int) -> str:
-    return f"(({key} * 2654435761 + {seed * 40503}) % 4294967296)"
+def mix_sql(key: str, seed: int, use: str) -> str:
+    return f"substr(md5(concat({key}, ':{seed}:{use}')), 1, 8)"
 
 
 @query(
     "smp_exact_n",
-    f"SELECT o_orderkey AS item_id, o_orderpriority AS priority FROM orders ORDER BY {mix_sql('o_orderkey', 42)}, o_orderkey LIMIT {SAMPLE}",
+    f"SELECT o_orderkey AS item_id, o_orderpriority AS priority FROM orders ORDER BY {mix_sql('o_orderkey', 42, 'sample')}, o_orderkey LIMIT {SAMPLE}",
 )
 def smp_exact_n(spark, sf):
     orders = table(spark, sf, "orders").select(
@@ -27,9 +27,28 @@ def smp_exact_n(spark, sf):
     return sampling.exact_sample(orders, "item_id", SAMPLE, 42)
 
 
+@query(
+    "smp_exact_n_text",
+    f"SELECT c_name AS item_id, c_nationkey AS nation FROM customer ORDER BY {mix_sql('c_name', 43, 'sample')}, c_name LIMIT 100",
+)
+def smp_exact_n_text(spark, sf):
+    """A text key, and another seed."""
+    people = table(spark, sf, "customer").select(F.col("c_name").alias("item_id"), F.col("c_nationkey").alias("nation"))
+    return sampling.exact_sample(people, "item_id", 100, 43)
+
+
+@query(
+    "smp_exact_n_other_seed",
+    f"SELECT o_orderkey AS item_id, o_orderpriority AS priority FROM orders ORDER BY {mix_sql('o_orderkey', 43, 'sample')}, o_orderkey LIMIT {SAMPLE}",
+)
+def smp_exact_n_other_seed(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderpriority").alias("priority"))
+    return sampling.exact_sample(orders, "item_id", SAMPLE, 43)
+
+
 @query(
     "smp_train_val",
-    f"""SELECT o_orderkey AS item_id, CASE WHEN row_number() OVER (ORDER BY {mix_sql('o_orderkey', 7)}, o_orderkey) <= {VALIDATION} THEN 'val' ELSE 'train' END AS split FROM orders""",
+    f"""SELECT o_orderkey AS item_id, CASE WHEN row_number() OVER (ORDER BY {mix_sql('o_orderkey', 7, 'split')}, o_orderkey) <= {VALIDATION} THEN 'val' ELSE 'train' END AS split FROM orders""",
 )
 def smp_train_val(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"))

@@ -20,8 +20,8 @@ def length_annotator(prompt: str):
 
 @query(
     "scn_detailed_results",
-    f"""WITH s AS (SELECT doc_id, text FROM documents ORDER BY {mix_sql('doc_id', 42)}, doc_id LIMIT {_N_SAMPLE}),
-    v AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY {mix_sql('doc_id', 42)}, doc_id) <= {_N_VAL} THEN 'val' ELSE 'train' END AS split FROM s),
+    f"""WITH s AS (SELECT doc_id, text FROM documents ORDER BY {mix_sql('doc_id', 42, 'sample')}, doc_id LIMIT {_N_SAMPLE}),
+    v AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY {mix_sql('doc_id', 42, 'split')}, doc_id) <= {_N_VAL} THEN 'val' ELSE 'train' END AS split FROM s),
     every AS (SELECT *, 'train' AS split FROM documents)
     SELECT 'p_sample' AS prompt_name, 1 AS iteration, run, split, doc_id, CAST(length(text) % 3 AS BIGINT) AS model_pred, 'length' AS "Reason", TRUE AS use_validation_set FROM v CROSS JOIN (VALUES (1), (2)) AS r(run)
     UNION ALL SELECT 'p_all', 1, run, split, doc_id, CAST(length(text) % 3 AS BIGINT), 'length', FALSE FROM every CROSS JOIN (VALUES (1), (2)) AS r(run)""",

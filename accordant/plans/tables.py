@@ -148,17 +148,18 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 # --- events, blocks, raw labels -----------------------------------------------
 
 EVENTS_SQL = """
-ev AS (SELECT event_id, event_id % 500 AS item_id, concat('r', user_id % 3) AS rater, ts,
+ev AS (SELECT event_id, event_id % (SELECT count(*) FROM documents) AS item_id, concat('r', user_id % 3) AS rater, ts,
  CASE WHEN event_type = 'error' THEN '' ELSE CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) END AS label,
  event_type = 'signup' AS invalid
 FROM events)"""
 
 
 def label_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Label events of three people on five hundred items."""
+    """Label events of three people, on items drawn from all documents."""
+    items_there = table(spark, sf, "documents").count()
     return table(spark, sf, "events").select(
         "event_id",
-        (F.col("event_id") % 500).alias("item_id"),
+        (F.col("event_id") % items_there).alias("item_id"),
         F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("rater"),
         "ts",
         F.when(F.col("event_type") == "error", "")

@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     active = spark.sparkContext.getCheckpointDir()
     if active:
         return active.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     own = tempfile.mkdtemp(prefix="accordant-")
     spark.sparkContext.setCheckpointDir(own)
     return own

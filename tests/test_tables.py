@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
 import random
 
@@ -87,9 +88,7 @@ def test_remaining_by_key(spark):
 
 def brute_smallest(keys, n, seed):
     def mixed(k):
-        return (
-            (k % 2**31) * 2654435761 + (k >> 31) % 2**31 * 1500450271 + seed * 40503
-        ) % 2**32
+        return hashlib.md5(f"{k}:{seed}:sample".encode()).hexdigest()[:8]
 
     return set(sorted(keys, key=lambda k: (mixed(k), k))[:n])
 
@@ -103,14 +102,33 @@ def test_exact_sample(spark, n):
     assert got == brute_smallest(keys, n, 42)
 
 
-def test_exact_sample_with_keys_that_mix_alike(spark):
-    # Keys 2**62 apart mix to the same value and are told apart by the key itself.
-    base = list(range(40))
-    keys = base + [k + 2**62 for k in base]
-    df = spark.createDataFrame([(k,) for k in keys], "k long")
+def test_exact_sample_with_keys_that_mix_alike(spark, monkeypatch):
+    # Keys with one hash are told apart by the key itself.
+    monkeypatch.setattr(sampling, "mix", lambda key, seed, use: F.pmod(key, F.lit(3)).cast("bigint"))
+    df = spark.createDataFrame([(k,) for k in range(80)], "k long")
     for n in (1, 3, 40, 79):
         got = {r[0] for r in sampling.exact_sample(df, "k", n, 1).collect()}
-        assert got == brute_smallest(keys, n, 1)
+        assert got == set(sorted(range(80), key=lambda k: (k % 3, k))[:n])
+
+
+def test_seeds_overlap_as_chance_would(spark):
+    keys = spark.range(15_000)
+    picks = [{r[0] for r in sampling.exact_sample(keys, "id", 700, seed).collect()} for seed in (42, 43, 44)]
+    for a, b in ((0, 1), (1, 2), (0, 2)):
+        assert 10 <= len(picks[a] & picks[b]) <= 65  # 33 by chance
+
+
+def test_sample_and_split_are_drawn_apart(spark):
+    keys = spark.range(4000)
+    sample = {r[0] for r in sampling.exact_sample(keys, "id", 400, 42).collect()}
+    held = {r[0] for r in sampling.train_val_split(keys, "id", 400, 42).where("split = 'val'").collect()}
+    assert 15 <= len(sample & held) <= 70  # 40 by chance
+
+
+def test_text_keys(spark):
+    names = [f"näme {i}" for i in range(300)]
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "k string")
+    assert {r[0] for r in sampling.exact_sample(df, "k", 50, 7).collect()} == brute_smallest(names, 50, 7)
 
 
 def test_sample_of_everything(spark):
