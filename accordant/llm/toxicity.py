@@ -194,11 +194,10 @@ def telling_words(labelled: DataFrame, least_z: float = 2.6, most: int = 5000) -
     spoken = words.where("toxic = 1")
     pairs = spoken.select(F.explode(F.arrays_zip(F.col("ws").alias("w"), F.slice("ws", 2, F.greatest(F.size("ws"), F.lit(1))).alias("next"))).alias("p"))
     contexts = pairs.select(F.col("p.w").alias("w"), F.col("p.next").alias("next")).distinct().groupBy("w").agg(F.count("*").alias("n"))
-    texts = spoken.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count("*").alias("t"))
-    used = texts.join(contexts, "w").select("w", F.least("t", "n").alias("t"))
-    clear = words.where("toxic = 0").select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    counts = keep(used.join(clear, "w", "left").select("w", "t", F.coalesce("c", F.lit(0)).alias("c")), "words")
-    rare = clear.join(used.select("w"), "w", "left_anti")
+    each = words.select("toxic", F.explode(F.array_distinct("ws")).alias("w"))
+    texts = each.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    said = F.coalesce(F.least("t", "n"), F.lit(0))
+    counts = keep(texts.join(contexts, "w", "left").select("w", said.alias("t"), "c", F.col("n").isNotNull().alias("said")), "words")
 
     def telling(table: DataFrame) -> set[str]:
         odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
@@ -206,13 +205,25 @@ def telling_words(labelled: DataFrame, least_z: float = 2.6, most: int = 5000) -
         best = table.withColumn("z", z).where((F.col("z") >= least_z) & (odds >= 2.0) & (F.col("t") >= 4))
         return {r["w"] for r in best.orderBy(F.desc("z"), "w").limit(most).collect()}
 
-    several = None
-    for n in PREFIXES:
-        one = counts.where(F.length("w") >= n).select(F.substring("w", 1, n).alias("w"), "t", "c", F.lit(1).alias("kinds"))
-        two = rare.where(F.length("w") >= n).select(F.substring("w", 1, n).alias("w"), F.lit(0).cast("long").alias("t"), "c", F.lit(0).alias("kinds"))
-        both = one.union(two).groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("kinds").alias("kinds")).where("kinds >= 3")
-        several = both if several is None else several.union(both)
-    return telling(counts), telling(several)
+    starts = F.explode(F.filter(F.array(*(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in PREFIXES)), lambda p: p.isNotNull()))
+    several = counts.select(starts.alias("w"), "t", "c", F.col("said").cast("int").alias("kinds"))
+    several = several.groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("kinds").alias("kinds")).where("kinds >= 3")
+    return telling(counts.where("said")), telling(several)
+
+
+def _first(tagged: DataFrame, most: int) -> DataFrame:
+    """The ``most`` windows with the smallest places, which are crc32 values.
+
+    Places below a cut four times as wide as needed on average are looked at, so
+    that what is ordered does not grow with the documents; should too few lie
+    there, all are.
+    """
+    there = tagged.count()
+    cut = (1 << 32) * 4 * most // max(there, 1)
+    near = tagged.where(F.col("place") < cut)
+    if there > 4 * most and near.count() < most:
+        near = tagged
+    return near.orderBy("place", "words").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windows: int = 6000, calibration_rows: int = 4000) -> Model:
@@ -246,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     tagged = keep(labelled.where("fold <> 3").select("doc_id", "text", "toxic").mapInArrow(tag, TAGGED), "tagged")
     has = F.array_max("tags") == 1
-    some = [tagged.where(c).orderBy("place", "words").limit(windows // 2).select("words", "tags").toArrow().to_pylist() for c in (has, ~has)]
+    some = [_first(tagged.where(c), windows // 2).select("words", "tags").toArrow().to_pylist() for c in (has, ~has)]
     model = fit_field([(r["words"], r["tags"]) for rows in some for r in rows]) if some[0] else Model.untrained()
     held = labelled.where("fold = 3").orderBy(F.xxhash64("doc_id"), "text").limit(calibration_rows)
     sample = score(held, model).select("doc_id", "hazard").join(held.select("doc_id", "toxic"), "doc_id").toArrow()
