@@ -1,8 +1,9 @@
 """Secrets in text, told from copied examples by who owns them.
 
 Patterns propose spans; each span's value is hashed, and the corpus is asked how
-many repositories and owners hold that hash.  What one owner holds alone looks
-live; what many hold was copied from an example.  All of it is column functions.
+many owners, and repositories where they are named, hold that hash.  What one
+owner holds alone looks live, in however many documents; what many hold was
+copied from an example.  All of it is column functions.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ AT_LEAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 # What the method adds: provider prefixes, and long mixed tokens that one owner holds alone.
 MORE = {
     "provider": r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})",
-    "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{32,200}(?![A-Za-z0-9+/_-]))(?=[A-Za-z+/_-]{0,199}[0-9])(?=[a-z0-9+/_-]{0,199}[A-Z])(?=[A-Z0-9+/_-]{0,199}[a-z])[A-Za-z0-9+/_-]{32,200}",
+    "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}+",
 }
 KINDS = [*BASE, *MORE]
 EXAMPLE = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|(.)\1{7,}"
@@ -93,29 +94,30 @@ def scan(
 
     ``findings`` lists start, end, kind, value and whether it looks live, in order
     of start and kind; offsets count code points.  A value is live when at most
-    ``most_owners`` owners and ``most_repositories`` repositories hold it, in the
-    whole table, and it doesn't call itself an example.  The repository is the
-    document unless a column names it.  Base spans are always listed, live or
-    not; further candidates only if live and clear of base spans.
+    ``most_owners`` owners hold it, in the whole table, and it doesn't call itself
+    an example.  Where ``repository_col`` names repositories, at most
+    ``most_repositories`` of them may hold it too; documents are none, so without
+    that column owners alone decide.  Base spans are always listed, live or not;
+    further candidates only if live and clear of base spans.
 
     Null and empty texts have no spans; a null owner counts as one owner;
     repeated rows are each scanned.  Frequencies are summed before they are
     shuffled, so a value in a third of all rows is one row per task.
     """
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
-    home = F.coalesce(F.col(repository_col or id_col).cast("string"), F.lit(""))
+    homed = {"home": F.coalesce(F.col(repository_col).cast("string"), F.lit(""))} if repository_col else {}
     plain = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), owner.alias("owner"), home.alias("home"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), owner.alias("owner"), *(c.alias(n) for n, c in homed.items()), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("row", F.monotonically_increasing_id())
     # One row per document, small: written once, since frequencies and results both need it.
-    found = keep(proposed(plain, ["row", "doc_id", "owner", "home"]), "secrets")
-    each = found.select("row", "owner", "home", F.explode(F.concat("base", "more")).alias("span")).withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
-    owners = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
-    homes = each.select("hash", "home").distinct().groupBy("hash").agg(F.count("*").alias("homes"))
-    counts = owners.join(homes, "hash")
-    judged = each.select("row", "span", "hash").join(counts, "hash").withColumn(
-        "live", (F.col("owners") <= most_owners) & (F.col("homes") <= most_repositories) & ~F.col("span.value").rlike(EXAMPLE)
-    )
+    found = keep(proposed(plain, ["row", "doc_id", "owner", *homed]), "secrets")
+    each = found.select("row", "owner", *homed, F.explode(F.concat("base", "more")).alias("span")).withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
+    counts = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
+    few = F.col("owners") <= most_owners
+    if homed:
+        counts = counts.join(each.select("hash", "home").distinct().groupBy("hash").agg(F.count("*").alias("homes")), "hash")
+        few = few & (F.col("homes") <= most_repositories)
+    judged = each.select("row", "span", "hash").join(counts, "hash").withColumn("live", few & ~F.col("span.value").rlike(EXAMPLE))
     rank = reduce(lambda col, k: F.when(F.col("span.kind") == k, KINDS.index(k)).otherwise(col), KINDS, F.lit(len(KINDS)))
     base = F.col("span.kind").isin(*BASE)
     listed = judged.where(base | F.col("live")).select(

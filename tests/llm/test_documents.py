@@ -189,6 +189,19 @@ def test_copied_values_are_examples(spark):
     assert clean == {i: "token = copied_value_1" for i in range(6)} | {9: "say [secret] twice", 10: None}
 
 
+def test_one_owner_in_many_documents(spark):
+    key, long = "ghp_" + "aB3" * 12, "Zx9" * 100
+    rows = [(i, f"use {key} or token=only_mine_77", "hot", f"r{i}") for i in range(60)] + [(99, f"a {long} b", "own", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repository string")
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert all(got[i]["spans"] == "provider:4:44,mixed:4:44,assign:48:66" and got[i]["n_live"] == 3 for i in range(60))
+    assert (got[99]["spans"], got[99]["n_live"]) == ("mixed:2:302", 1)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean == {i: "use [secret] or [secret]" for i in range(60)} | {99: "a [secret] b"}
+    named = secrets.digest(secrets.scan(docs, repository_col="repository")).where("doc_id < 60")
+    assert {(r["spans"], r["n_live"]) for r in named.collect()} == {("assign:48:66", 0)}
+
+
 def test_secrets_query(spark):
     texts = documents(spark)
     got = {r["doc_id"]: r["base_sha256"] for r in contract.queries()["op10_secrets"](spark, SF).collect()}
