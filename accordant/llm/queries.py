@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, html_text, line_dedup, near_docs, near_vectors, packing, secrets, token_files, topk, toxicity
+from accordant.llm import bpe, fill_middle, html_text, line_dedup, near_docs, near_vectors, packing, secrets, token_files, topk, toxicity
 from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,42 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without lines that resemble an earlier one."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document cut for filling in its middle, and what is rebuilt from that."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    made = fill_middle.fill_in_middle(docs)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+ORACLE["op13_fill_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS t,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM d
+), c AS (
+  SELECT *, CAST(len(t) AS BIGINT) AS n, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS a, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT *, coalesce(array_to_string(t[1:a], ''), '') AS x, coalesce(array_to_string(t[a + 1:b], ''), '') AS y, coalesce(array_to_string(t[b + 1:n], ''), '') AS z FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
