@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, fill_middle, html_text, line_dedup, near_docs, near_vectors, packing, secrets, token_files, topk, toxicity
+from accordant.llm import bpe, fill_middle, html_text, line_dedup, near_docs, near_vectors, packing, secrets, token_files, topk, toxicity, turn_repair
 from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,19 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT)
        sha256(text) AS restored_sha256
 FROM p
 """
+
+
+@query
+def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    found = turn_repair.summary(turn_repair.repair(turn_repair.damage(turns)))
+    every = turns.select("conv_id").distinct()
+    joined = every.join(found, every["conv_id"].eqNullSafe(found["conv"]), "left")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in turn_repair.SUMMARY],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", empty).alias("repaired_sha256"),
+    )
