@@ -27,7 +27,7 @@ from accordant.llm.common import keep, shuffle_width
 
 BLANK, DUPLICATE, TRUNCATED = "blank", "duplicate", "truncated"
 WHITE = " \t\n\x0b\x0c\r"
-ROWS_PER_BLOCK = 512
+ROWS_PER_BLOCK = 128
 ROWS_AT_ONCE = 4096
 
 #: What an edit costs; a truncated turn that stays adds ``CUT_OFF``.
@@ -69,8 +69,11 @@ def lower_bounds(rows: str) -> tuple[list[int], list[int]]:
     return first, begun
 
 
-def greedy(rows: str, state: int) -> tuple[str, int]:
-    """Some edits and the state they end in: what is faulty goes, what fits stays, the rest is renamed."""
+def greedy(rows: str, state: int, ends: Sequence[int]) -> tuple[str, int]:
+    """Some edits and the state they end in: what is faulty goes, what fits stays, the rest is renamed.
+
+    Turns are added until the end is one of ``ends``, if adding gets there.
+    """
     audit = ""
     for row in rows:
         if row in "xSUAO":
@@ -79,7 +82,7 @@ def greedy(rows: str, state: int) -> tuple[str, int]:
             audit, state = audit + "K", FOLLOWS[state][row]
         else:
             audit, state = audit + "R", FOLLOWS[state][NEXT[state]]
-    while state not in COMPLETE:
+    while state not in ends and max(ends) >= AFTER_U:
         audit, state = audit + "I", FOLLOWS[state][NEXT[state]]
     return audit, state
 
@@ -99,12 +102,14 @@ def search(rows: str, state: int = START, ends: Sequence[int] = COMPLETE) -> Sol
     again only at a lower cost, which keeps the work within rows times cost.
     """
     first, begun = lower_bounds(rows)
-    audit, end = greedy(rows, state)
+    audit, end = greedy(rows, state, ends)
     best: Solution | None = (price(rows, audit), audit) if end in ends else None
     seen: dict[tuple[int, int], Solution] = {}
     stack: list[tuple[int, int, int, str]] = [(0, state, 0, "")]
     while stack:
         i, at, cost, audit = stack.pop()
+        if min(at, AFTER_U) > max(ends):  # no way back to an earlier state
+            continue
         if best is not None:
             least = cost + (begun if at else first)[i]
             if least > best[0] or least == best[0] and audit > best[1][: len(audit)]:
