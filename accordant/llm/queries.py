@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, fill_middle, html_text, line_dedup, near_docs, near_vectors, packing, secrets, token_files, topk, toxicity, turn_repair
+from accordant.llm import bpe, fill_middle, html_text, line_dedup, near_docs, near_vectors, packing, repeats, secrets, token_files, topk, toxicity, turn_repair
 from accordant.llm.common import keep, shared_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,16 @@ def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", empty).alias("repaired_sha256"),
     )
+
+
+@query
+def op12_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the passages of 100 bytes that stand earlier."""
+    found = repeats.drop_repeats(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
