@@ -118,21 +118,22 @@ def _rater_tests(
             F.posexplode(F.array(*[F.lit(r) for r in ratings.raters])).alias("rater_no", "rater"),
         )
     )
+    return tests_from_sums(grid.join(sums, [*keys, "rater"], "left"), keys, epsilon)
+
+
+def tests_from_sums(sums: DataFrame, keys: Sequence[str], epsilon: float) -> DataFrame:
+    """The tests of numbered raters from their win sums; null sums are no scored rows."""
     test = one_sided_p(F.col("n"), F.col("sum_d"), F.col("sum_d2"), epsilon)
-    return (
-        grid.join(sums, [*keys, "rater"], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
-        .select(
-            *keys,
-            "rater_no",
-            "rater",
-            "n",
-            F.try_divide("wins_f", "n").alias("rho_f"),
-            F.try_divide("wins_h", "n").alias("rho_h"),
-            test["mean"].alias("mean_d"),
-            test["t"].alias("t"),
-            test["p"].alias("p"),
-        )
+    return sums.withColumn("n", F.coalesce("n", F.lit(0))).select(
+        *keys,
+        "rater_no",
+        "rater",
+        "n",
+        F.try_divide("wins_f", "n").alias("rho_f"),
+        F.try_divide("wins_h", "n").alias("rho_h"),
+        test["mean"].alias("mean_d"),
+        test["t"].alias("t"),
+        test["p"].alias("p"),
     )
 
 
@@ -186,10 +187,11 @@ def alt_summary(
 ) -> DataFrame:
     """Per group: winning rate, whether the model passes, mean advantage, p-values."""
     tests = by_correction(rater_tests(facts, ratings, keys, epsilon, metric), keys, alpha)
-    return _summarise(tests, keys)
+    return summarise(tests, keys)
 
 
-def _summarise(tests: DataFrame, keys: Sequence[str]) -> DataFrame:
+def summarise(tests: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per group of corrected tests."""
     return tests.groupBy(*keys).agg(*_outcome(), F.avg("rho_f").alias("avg_adv_prob"))
 
 
@@ -219,7 +221,7 @@ def alt_across_runs(
     )
 
     tests = by_correction(_rater_tests(patterns, ratings, keys, epsilon, "accuracy"), keys, alpha)
-    run_rows = sizes.join(_summarise(tests, keys), keys, "left")
+    run_rows = sizes.join(summarise(tests, keys), keys, "left")
 
     pooled_keys = ["prompt_name", "iteration", "split"]
     mean_p = tests.groupBy(*pooled_keys, "rater_no", "rater").agg(

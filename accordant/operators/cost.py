@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant.functions.labels import bind
+from accordant.operators.spread import running_sums
 
 # Dollars per 1000 tokens as (prompt, completion).
 MODEL_PRICES: dict[str, tuple[float, float]] = {
@@ -114,26 +115,12 @@ def estimate(df: DataFrame, key: str, n_runs: int = 1) -> DataFrame:
     ).withColumn("total_cost_estimate", F.col("cost_for_one") * F.col("n_rows") * n_runs)
 
 
-def ledger(runs: DataFrame, when: str, cost: str = "total_cost", block: str = "month") -> DataFrame:
-    """Add ``cumulative_cost`` over runs in time order.
+def ledger(runs: DataFrame, when: str, run_id: str, cost: str = "total_cost") -> DataFrame:
+    """Add ``cumulative_cost`` over runs in order of time, then of run id.
 
-    Runs are summed per calendar block first; only the block sums are ordered in
-    one task, the running sum inside a block stays with the block.
+    Runs are sorted over all tasks; each task sums its stretch of that order, and
+    only the sums of stretches meet.  Amounts are added as whole millionths.
     """
-    cents = F.round(F.col(cost) * 1_000_000).cast("bigint")
-    marked = runs.withColumn("_micro", cents).withColumn("_block", F.date_trunc(block, when))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.groupBy("_block")
-        .agg(F.sum("_micro").alias("_sum"))
-        .select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = (
-        Window.partitionBy("_block").orderBy(when).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        marked.withColumn("_upto", F.sum("_micro").over(inside))
-        .join(offsets, "_block")
-        .withColumn("cumulative_cost", (F.col("_offset") + F.col("_upto")) / F.lit(1_000_000.0))
-        .drop("_micro", "_block", "_upto", "_offset")
-    )
+    micro = runs.withColumn("_micro", F.round(F.col(cost) * 1_000_000).cast("bigint"))
+    summed = running_sums(micro, [], [when, run_id], ["_micro"])
+    return summed.withColumn("cumulative_cost", F.col("_micro_upto") / F.lit(1_000_000.0)).drop("_micro", "_micro_upto")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant.operators.replies import fields_or_blank, reply_object
+from accordant.session import settle
 
 GENERATION_ID = "generation_id"
 
@@ -61,7 +62,11 @@ def annotation_outcome(merged: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 def export_views(
     annotated: DataFrame, original_columns: Sequence[str], fields: Sequence[str]
 ) -> dict[str, DataFrame]:
-    """The three tables written at the end: everything, generated part, annotations."""
+    """The three tables written at the end: everything, generated part, annotations.
+
+    The annotated table is made once, whichever of them are read.
+    """
+    annotated = settle(annotated.select(GENERATION_ID, *[c for c in original_columns if c != GENERATION_ID], *fields))
     return {
         "annotated_content": annotated.select(*original_columns, *fields),
         "original_generated": annotated.select(*original_columns),

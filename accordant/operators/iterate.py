@@ -119,13 +119,12 @@ def iteration_rows(
 ) -> DataFrame:
     """One row per scenario and prompt iteration: accuracy, kappa, test and raters.
 
-    All columns derive from one table of rating patterns.  A missing prediction
-    counts as the label -1, which no rater gives.
+    All columns derive from one table of rating patterns.  Labels may be numbers or
+    texts.  A missing prediction equals no label.
     """
     keys = ["prompt_name", order]
     split_keys = [*keys, "split"]
     patterns = rating_patterns(facts, ratings, split_keys, listwise=False)
-    guess = F.coalesce(F.col(ratings.model), F.lit(-1))
     truth = with_ground_truth(patterns, ratings)
 
     # Rows nobody rated count for nothing.  They are not filtered: a filter would
@@ -136,7 +135,7 @@ def iteration_rows(
         F.lit("gt_vs_model").alias("pair"),
         F.lit("gt_model").alias("kind"),
         F.col(GT).alias("a"),
-        guess.alias("b"),
+        F.col(ratings.model).alias("b"),
     ).agg(F.sum(judged).alias("n"))
     agreement = kappas(cells, split_keys, labels).withColumn(
         "accuracy", F.col("n_equal") / F.col("n_rows")
@@ -144,7 +143,7 @@ def iteration_rows(
     tests = alttest.by_correction(
         alttest._rater_tests(patterns, ratings, split_keys, epsilon, "accuracy"), split_keys
     )
-    outcome = alttest._summarise(tests, split_keys)
+    outcome = alttest.summarise(tests, split_keys)
     people = rater_accuracy(truth, ratings, split_keys)
 
     def pick(name: str, split: str) -> Column:

@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 from accordant.functions import labels as L
 from accordant.functions import text as X
 from accordant.functions.labels import bind
-from accordant.operators.joins import lookup_join
+from accordant.operators.scanner import objects
 from accordant.session import settle
 
-# Shapes of a JSON block, of comments inside it, of a dangling comma.
+# Shapes of a flat JSON block and of a dangling comma.
 FIRST_BLOCK = r"(?s)\{.*?\}"
-WIDEST_BLOCK = r"(?s)\{.*\}"
-COMMENTS = r"(?sm)/\*.*?\*/|//.*?$|#.*?$"
-DANGLING_COMMA = r",\s*\}"
+DANGLING_COMMA = r",\s*([}\]])"
 BINARY_VALUE = r"^\s*\+?0*[01](\.0+)?\s*$|^(true|false)$"
 DEFAULT_LABEL_FIELD = "Classification"
 
@@ -36,26 +34,25 @@ def _object(text: Column) -> Column:
     return F.from_json(shaped, "map<string,string>", _JSON_OPTIONS)
 
 
-def _uncommented(block: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(block, COMMENTS, ""), DANGLING_COMMA, "}")
-
-
 def whole_object(text: Column) -> Column:
     """Fields of a reply that is nothing but a JSON object."""
     return _object(X.strip(text))
 
 
 def block_object(text: Column) -> Column:
-    """Fields of the JSON object inside a reply.
+    """Fields of the first JSON object inside a reply that can be read.
 
-    The first flat block is tried as it is and without comments; the widest block
-    catches nested objects the flat pattern cuts short.
+    A flat block is tried as it is.  Otherwise objects are found by a scan that
+    knows strings, comments and nesting; a comma before a closing bracket is let
+    pass.
     """
-    first = F.regexp_extract(text, FIRST_BLOCK, 0)
-    widest = F.regexp_extract(text, WIDEST_BLOCK, 0)
-    return F.coalesce(
-        _object(first), _object(_uncommented(first)), _object(widest), _object(_uncommented(widest))
-    )
+    flat = F.regexp_extract(text, FIRST_BLOCK, 0)
+
+    def read(block: Column) -> Column:
+        return F.coalesce(_object(block), _object(F.regexp_replace(block, DANGLING_COMMA, "$1")))
+
+    parsed = F.filter(F.transform(objects(text), read), lambda fields: fields.isNotNull())
+    return F.coalesce(_object(flat), F.try_element_at(parsed, F.lit(1)))
 
 
 def reply_object(text: Column) -> Column:
@@ -125,6 +122,17 @@ def integer_code(text: Column, prefix: str | None = None) -> Column:
     return F.coalesce(*[_captured(text, s) for s in shapes])
 
 
+def text_code(text: Column, prefix: str | None = None) -> Column:
+    """Text label in free text: what follows the prefix on its line, else the first line.
+
+    Quotes, a final comma or full stop and surrounding blanks are left out; null
+    where nothing remains.
+    """
+    name = r"\Q" + prefix + r"\E" if prefix else ""
+    found = F.regexp_extract(text, rf"(?imU)\b{name}\"?\s*[:\-]\s*(.+?)\s*$" if prefix else r"(?mU)^\s*(\S.*?)\s*$", 1)
+    return F.nullif(F.regexp_replace(found, r"""^["'\s]+|["'\s.,;]+$""", ""), F.lit(""))
+
+
 def last_binary_digit(text: Column) -> Column:
     """Last standalone 0 or 1."""
     found = F.regexp_extract_all(text, F.lit(r"\b[01]\b"), F.lit(0))
@@ -161,6 +169,11 @@ def numeric_label(value: Column, label_type: str, compat: bool = False) -> Colum
     return signed.try_cast("double")
 
 
+def numeric_or_text(value: Column, label_type: str, compat: bool = False) -> Column:
+    """The number inside a label text, as text; a text without one stays as it is."""
+    return F.coalesce(numeric_label(value, label_type, compat).cast("string"), value.cast("string"))
+
+
 def key_value_blocks(text: Column) -> Column:
     """``Key: value`` lines as a map; values may span lines.
 
@@ -229,7 +242,7 @@ def attach_by_verbatim(
 
     Texts are compared through their SHA-256, so long texts are not shuffled, and
     the first prediction per text is found by aggregation.  A text copied into a
-    large share of the rows is handled by :func:`lookup_join`.
+    large share of the rows is one key, whose rows adaptive execution splits.
     """
     digest = F.sha2(F.col(verbatim), 256).alias("_digest")
     first = (
@@ -238,7 +251,7 @@ def attach_by_verbatim(
         .agg(F.min_by("_label", "_order").alias("_label"))
         .withColumn("_found", F.lit(True))
     )
-    joined = lookup_join(rows.select("*", digest), first, "_digest")
+    joined = rows.select("*", digest).join(first, "_digest", "left")
     value = F.col("_label")
     if default is not None:
         value = F.when(F.col("_found"), value).otherwise(F.lit(default))
@@ -313,10 +326,10 @@ def annotate_batch(
 def group_validity(
     df: DataFrame, group: str, label: str = "label", as_name: str = "global_validity"
 ) -> DataFrame:
-    """Per group: 1 if every label is 1, else 0; a missing label counts as 0."""
+    """Per group: 1 if every label is 1, else 0; a missing label counts as 0.
+
+    A row without a group gets null.
+    """
     filled = df.withColumn(label, F.coalesce(F.col(label), F.lit(0)))
-    verdict = filled.groupBy(group).agg(
-        F.min(F.when(F.col(label) == 1, 1).otherwise(0)).alias(as_name),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return lookup_join(filled, verdict.drop("n"), group, counts=verdict)
+    verdict = filled.groupBy(group).agg(F.min(F.when(F.col(label) == 1, 1).otherwise(0)).alias(as_name))
+    return filled.join(verdict, group, "left")

@@ -42,8 +42,8 @@ def smallest_n(df: DataFrame, key: str, n: int, seed: int, use: str = "") -> Col
         return rows.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
 
     coarse = _block_holding(sizes(keyed, high), n)
-    if coarse is None:  # fewer than n rows: all of them qualify
-        return F.lit(True)
+    if coarse is None:  # fewer than n rows with a key: all of them qualify
+        return F.col(key).isNotNull()
     inside = keyed.where(high == coarse[0])
     value, left, size = _block_holding(sizes(inside, F.col("mixed")), coarse[1])
     if left == size:

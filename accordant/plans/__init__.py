@@ -9,6 +9,7 @@ _MODULES = (
     "reply_queries",
     "agreement_queries",
     "alpha_queries",
+    "long_queries",
     "alttest_queries",
     "iterate_queries",
     "annotate_queries",

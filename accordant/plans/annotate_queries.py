@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from accordant.operators import annotate
+from accordant.operators import annotate, label_state
 from accordant.plans.registry import query
 from accordant.plans.tables import EVENTS_SQL, ITEMS_SQL, items, label_events, table
 
@@ -16,19 +16,31 @@ _WIDE = ", ".join(
 )
 
 
-@query(
-    "ann_apply_events",
-    f"""WITH {EVENTS_SQL},
+_EVENTS_APPLIED = f"""WITH {EVENTS_SQL},
     last AS (SELECT item_id, rater, label FROM (SELECT *, row_number() OVER (PARTITION BY item_id, rater ORDER BY ts DESC, event_id DESC) AS k FROM ev WHERE label <> '') WHERE k = 1),
     flag AS (SELECT item_id, rater, bool_or(invalid) AS invalid FROM ev GROUP BY ALL),
     st AS (SELECT f.item_id, f.rater, l.label, f.invalid FROM flag f LEFT JOIN last l ON l.item_id = f.item_id AND l.rater = f.rater)
-    SELECT d.doc_id AS item_id, {_WIDE} FROM documents d LEFT JOIN st ON st.item_id = d.doc_id GROUP BY d.doc_id""",
-)
+    SELECT d.doc_id AS item_id, {_WIDE} FROM documents d LEFT JOIN st ON st.item_id = d.doc_id GROUP BY d.doc_id"""
+
+
+@query("ann_apply_events", _EVENTS_APPLIED)
 def ann_apply_events(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"))
     return annotate.apply_events(docs, label_events(spark, sf), "item_id", PEOPLE)
 
 
+@query("ann_apply_increment", _EVENTS_APPLIED)
+def ann_apply_increment(spark, sf):
+    """The same by three increments, each with events older than some before it."""
+    events = label_events(spark, sf)
+    parts = [events.where(F.col("event_id") % 3 == i) for i in range(3)]
+    labels = label_state.snapshot(parts[0], "item_id")
+    for part in parts[1:]:
+        labels = label_state.apply_increment(labels, part, "item_id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"))
+    return label_state.apply_snapshot(docs, labels, "item_id", PEOPLE)
+
+
 @query(
     "ann_unrated_queue",
     f"WITH {ITEMS_SQL} SELECT item_id, rater_b FROM items WHERE rater_a IS NULL AND rater_b IS NOT NULL",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accordant.functions import text as X
-from accordant.operators import cost, replies
+from accordant.operators import cost, replies, reply_store
 from accordant.plans.registry import query
 from accordant.plans.tables import (
     BLOCKS_SQL,
@@ -17,6 +17,7 @@ from accordant.plans.tables import (
     responses,
     table,
 )
+from accordant.session import scratch_path
 
 # The oracles know the eight reply shapes, so simple patterns are enough.
 _OBJECT = r"regexp_extract(response_text, '\{[^{}]*\}')"
@@ -45,6 +46,36 @@ def rsp_json_fields(spark, sf):
     return parsed.select("item_id", "completion_no", "Classification", "Reasoning", "parse_status")
 
 
+# Replies that a plain pattern cuts in the wrong place: addresses and braces in strings,
+# comments, a second object, nested objects, an object that never ends.
+_TANGLED = [
+    """concat('{"url": "http://a.b/c?x=1#top", "Classification": ', y, '}')""",
+    """concat('First {"draft": true} then {"Classification": ', y, '}')""",
+    """concat('Reply: {"meta": {"source": {"id": 7}, "Reasoning": "inner"}, "Classification": ', y, ', "Reasoning": "outer"}')""",
+    """concat('{"Classification": ', y, ', // chosen from {0, 1, 2}', chr(10), ' "Reasoning": "see http://x/*y*/" /* "Classification": 9 */ }')""",
+    """concat('{"Reasoning": "use {x} or ', chr(92), '"}', chr(92), '" # no", "Classification": ', y, ' , }')""",
+    """concat('# a heading', chr(10), '{"Classification": ', y, ' # a number', chr(10), '}')""",
+    """concat('{"Classification": ', y, ', "Reasoning": "never closed')""",
+    """concat('{not json} and {"Classification": ', y, ', "Reasoning": "later"}')""",
+]
+_TANGLED_CASE = " ".join(f"WHEN {i} THEN {reply}" for i, reply in enumerate(_TANGLED))
+_TANGLED_REASON = {2: "outer", 3: "see http://x/*y*/", 4: 'use {x} or "}" # no', 7: "later"}
+
+
+@query(
+    "rsp_json_nested",
+    f"""WITH t AS (SELECT doc_id, doc_id % 8 AS v, doc_id % 3 AS y FROM documents)
+    SELECT doc_id, CASE WHEN v NOT IN (1, 6) THEN CAST(y AS VARCHAR) END AS "Classification",
+    CASE v {' '.join(f"WHEN {i} THEN '{r}'" for i, r in _TANGLED_REASON.items())} END AS "Reasoning",
+    CASE WHEN v = 0 THEN 'http://a.b/c?x=1#top' END AS url, CASE WHEN v = 6 THEN 'no_json' ELSE 'ok' END AS parse_status FROM t""",
+)
+def rsp_json_nested(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 8).alias("v"), (F.col("doc_id") % 3).alias("y"))
+    texts = docs.withColumn("response_text", F.expr(f"CASE v {_TANGLED_CASE} END"))
+    parsed = replies.parse_json_fields(texts, ["Classification", "Reasoning", "url"])
+    return parsed.select("doc_id", "Classification", "Reasoning", "url", "parse_status")
+
+
 @query(
     "rsp_json_or_block",
     f"""WITH {REPLIES_SQL} SELECT item_id, completion_no, coalesce({_FIELD}, '') AS "Classification", '' AS "Comment" FROM responses""",
@@ -107,6 +138,22 @@ def rsp_numeric_label(spark, sf):
     )
 
 
+@query(
+    "rsp_numeric_or_text",
+    r"""SELECT event_id, coalesce(CAST(TRY_CAST(nullif(regexp_extract(t, '\b\d+\b'), '') AS BIGINT) AS VARCHAR), t) AS as_integer,
+    coalesce(nullif(regexp_extract(t, '[+-]?\b\d+\.\d+\b'), ''), nullif(regexp_extract(t, '[+-]?\b\d+\b'), '') || '.0', t) AS as_float
+    FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN concat('no number, ', event_type) ELSE concat('scores -', CAST(event_id % 50 + 1 AS VARCHAR), CASE WHEN event_id % 3 = 0 THEN '.5' ELSE '' END, ' points') END AS t FROM events)""",
+)
+def rsp_numeric_or_text(spark, sf):
+    """Replies without a number keep their text."""
+    n = F.col("event_id")
+    scores = F.concat(F.lit("scores -"), (n % 50 + 1).cast("string"), F.when(n % 3 == 0, ".5").otherwise(""), F.lit(" points"))
+    text = F.when(n % 4 == 0, F.concat(F.lit("no number, "), F.col("event_type"))).otherwise(scores)
+    return table(spark, sf, "events").select(
+        "event_id", replies.numeric_or_text(text, "Integer").alias("as_integer"), replies.numeric_or_text(text, "Float").alias("as_float")
+    )
+
+
 @query(
     "rsp_key_values",
     rf"""WITH {BLOCKS_SQL}
@@ -190,7 +237,44 @@ def rule_annotator(prompt: str):
 )
 def rsp_annotate_batch(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
-    return replies.annotate_batch(docs, rule_annotator).drop("prompt", "completion_no")
+    spread = replies.annotate_batch(docs, rule_annotator, partitions=spark.sparkContext.defaultParallelism)
+    return spread.drop("prompt", "completion_no")
+
+
+def moody_annotator(prompt: str):
+    """The stand-in on a bad day: every fifth word count fails."""
+    if len(prompt.split()) % 5 == 0:
+        raise ValueError("service is busy")
+    return rule_annotator(prompt)
+
+
+@query(
+    "rsp_annotate_store",
+    r"""WITH n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS w FROM documents)
+    SELECT doc_id, CAST(completion_no AS INTEGER) AS completion_no, concat('{"Classification": ', w % 2, '}') AS response_text, CAST(w AS BIGINT) AS prompt_tokens,
+    CAST(5 AS BIGINT) AS completion_tokens, CAST(NULL AS VARCHAR) AS error, CAST(CASE WHEN w % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS calls
+    FROM n CROSS JOIN (VALUES (1), (2)) AS c(completion_no)""",
+)
+def rsp_annotate_store(spark, sf):
+    """Two runs over one store: the second asks only what failed in the first."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    store = scratch_path(spark, "reply-store")
+    reply_store.annotate_stored(docs, moody_annotator, store, n_completions=2, tag="stand-in")
+    return reply_store.annotate_stored(docs, rule_annotator, store, n_completions=2, tag="stand-in").drop("prompt")
+
+
+@query(
+    "rsp_error_rows",
+    r"""WITH n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS w FROM documents)
+    SELECT doc_id, CASE WHEN w % 5 <> 0 THEN CAST(w % 2 AS VARCHAR) END AS label, CASE WHEN w % 5 = 0 THEN 'no_json' ELSE 'ok' END AS parse_status,
+    CASE WHEN w % 5 = 0 THEN 'service is busy' END AS error FROM n""",
+)
+def rsp_error_rows(spark, sf):
+    """Failing calls keep their row, with a null label and the message."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    answered = replies.annotate_batch(docs, moody_annotator, partitions=spark.sparkContext.defaultParallelism)
+    parsed = replies.parse_json_fields(answered, ["Classification"])
+    return parsed.select("doc_id", F.col("Classification").alias("label"), "parse_status", "error")
 
 
 @query(
@@ -254,17 +338,13 @@ def cost_token_estimate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.word_count(F.col("text")).alias("tokens"))
 
 
+# Runs of one hour share their time, and are told apart by a run id.
 @query(
     "win_cumulative_cost",
-    """WITH runs AS (SELECT date_trunc('day', ts) AS run_ts, CAST(sum(CAST(floor(value) AS BIGINT)) AS DOUBLE) / 1000000 AS total_cost FROM events GROUP BY 1)
-    SELECT run_ts, total_cost, round(sum(total_cost) OVER (ORDER BY run_ts), 6) AS cumulative_cost FROM runs""",
+    """WITH runs AS (SELECT date_trunc('hour', ts) AS run_ts, user_id % 7 AS run_id, sum(CAST(floor(value) AS BIGINT)) AS micro FROM events GROUP BY ALL)
+    SELECT run_ts, run_id, CAST(micro AS DOUBLE) / 1000000 AS total_cost, round(CAST(sum(micro) OVER (ORDER BY run_ts, run_id) AS DOUBLE) / 1000000, 6) AS cumulative_cost FROM runs""",
 )
 def win_cumulative_cost(spark, sf):
-    runs = (
-        table(spark, sf, "events")
-        .groupBy(F.date_trunc("day", "ts").alias("run_ts"))
-        .agg((F.sum(F.floor("value")) / F.lit(1_000_000.0)).alias("total_cost"))
-    )
-    return cost.ledger(runs, "run_ts").withColumn("cumulative_cost", F.round("cumulative_cost", 6))
-
-
+    per_run = [F.date_trunc("hour", "ts").alias("run_ts"), (F.col("user_id") % 7).alias("run_id")]
+    runs = table(spark, sf, "events").groupBy(*per_run).agg((F.sum(F.floor("value")) / F.lit(1_000_000.0)).alias("total_cost"))
+    return cost.ledger(runs, "run_ts", "run_id").withColumn("cumulative_cost", F.round("cumulative_cost", 6))

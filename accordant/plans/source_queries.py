@@ -16,7 +16,7 @@ def src_csv_roundtrip(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     path = scratch_path(spark, "documents-csv")
     delimited.write_csv(docs, path)
-    return delimited.read_csv(spark, path, schema=docs.schema)
+    return delimited.read_csv(spark, path, schema=docs.schema, multiline=True)
 
 
 @query(
@@ -33,7 +33,7 @@ def src_encoding_fallback(spark, sf):
     french = F.col("lang") == "fr"
     delimited.write_csv(docs.where(french), f"{folder}/a", encoding="ISO-8859-1")
     delimited.write_csv(docs.where(~french), f"{folder}/b")
-    back = delimited.load_table(spark, f"{folder}/*", delimiter=";")
+    back = delimited.load_table(spark, f"{folder}/*", delimiter=";", multiline=True)
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
 
 
@@ -46,7 +46,7 @@ def src_results_split(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("text").alias("Verbatim"), F.col("lang").alias("code"))
     path = scratch_path(spark, "results-csv")
     delimited.write_csv(docs, path, delimiter=",")
-    verbatims, coding = delimited.read_results(spark, path)
+    verbatims, coding = delimited.read_results(spark, path, multiline=True)
     return verbatims.withColumn("part", F.lit("verbatim")).unionByName(
         coding.withColumn("part", F.lit("coding")), allowMissingColumns=True
     )
@@ -72,7 +72,7 @@ def src_annotated_dataset(spark, sf):
     rows = items(spark, sf)
     path = scratch_path(spark, "annotated-csv")
     delimited.write_csv(rows, path)
-    return delimited.read_csv(spark, path, schema=rows.schema, multiline=False)
+    return delimited.read_csv(spark, path, schema=rows.schema)
 
 
 _CONFIG = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,14 +28,14 @@ def read_csv(
     delimiter: str = ";",
     schema: T.StructType | str | None = None,
     encoding: str = "UTF-8",
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read delimited files.
 
     Without a schema all columns are text: types are declared, not guessed, and
-    no extra pass is made.  Files without line breaks inside cells (see
-    ``sanitize``) should be read with ``multiline=False``, which lets Spark split
-    them.
+    no extra pass is made.  Files are split among tasks; those with line breaks
+    inside cells need ``multiline``, which reads each by one task (``sanitize``
+    takes such breaks out before writing).
     """
     reader = spark.read.options(**_QUOTING).option("sep", delimiter)
     reader = reader.option("encoding", encoding).option("multiLine", multiline)
@@ -71,23 +71,22 @@ def load_table(
     raise ValueError("unsupported file type: use 'csv' or 'parquet'")
 
 
-def files_by_encoding(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Files below a path that are valid UTF-8, and those that are not.
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """``file, utf8``: which files below a path are valid UTF-8.
 
-    Lines are checked in parallel as raw bytes, so large files are split as usual;
-    one flag per file comes back.
+    Lines are checked as raw bytes where they are, so large files are split.
     """
-    flags = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(path)
-        .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(F.bool_and(F.is_valid_utf8(F.col("value"))).alias("utf8"))
-        .collect()
-    )
-    groups: dict[str, list[str]] = {"UTF-8": [], FALLBACK_ENCODING: []}
-    for row in flags:
-        groups["UTF-8" if row["utf8"] else FALLBACK_ENCODING].append(row["file"])
-    return groups
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    valid = F.bool_and(F.is_valid_utf8(F.col("value")))
+    return lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(valid.alias("utf8"))
+
+
+def _as_utf8(name: str) -> str:
+    """A name read byte by byte, as UTF-8 where that is possible."""
+    try:
+        return name.encode(FALLBACK_ENCODING).decode("UTF-8")
+    except UnicodeError:
+        return name
 
 
 def read_any_encoding(
@@ -95,24 +94,35 @@ def read_any_encoding(
     path: str,
     delimiter: str = ";",
     schema: T.StructType | str | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Read UTF-8 files as such and all others as ISO-8859-1."""
-    out: DataFrame | None = None
-    for encoding, files in files_by_encoding(spark, path).items():
-        if files:
-            part = read_csv(spark, files, delimiter, schema, encoding, multiline)
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    """Read UTF-8 files as such and all others as ISO-8859-1.
+
+    All files are read as ISO-8859-1, which keeps every byte.  The texts of files
+    that are valid UTF-8 throughout are then read anew from those bytes.  Which
+    files these are stays a table; no list of files is made.
+    """
+    raw = read_csv(spark, path, delimiter, schema, FALLBACK_ENCODING, multiline)
+    if not raw.columns:
         raise ValueError(f"no readable file below {path}")
-    return out
+    columns = [f"c{i}" for i in range(len(raw.columns))]
+    rows = raw.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(raw.columns, columns)], F.col("_metadata.file_path").alias("file"))
+    told = rows.join(file_encodings(spark, path), "file", "left")
+
+    def text(c: str) -> Column:
+        return F.when(F.col("utf8"), F.decode(F.encode(c, FALLBACK_ENCODING), "UTF-8")).otherwise(F.col(c))
+
+    kinds = [f.dataType for f in raw.schema.fields]
+    return told.select(
+        *[(text(c) if isinstance(kind, T.StringType) else F.col(c)).alias(_as_utf8(name)) for c, name, kind in zip(columns, raw.columns, kinds)]
+    )
 
 
 def read_results(
-    spark: SparkSession, path: str, delimiter: str = ","
+    spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = False
 ) -> tuple[DataFrame | None, DataFrame]:
     """Coding results as text: the verbatims, if there are any, and the codes."""
-    table = read_csv(spark, path, delimiter)
+    table = read_csv(spark, path, delimiter, multiline=multiline)
     if not table.columns:
         raise ValueError(f"the file '{path}' is empty or corrupted")
     if VERBATIM not in table.columns:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accordant.operators import alpha, alttest, classification, kappa, patterns
+from accordant.operators import alpha, alttest, classification, kappa, long_form, patterns, resample, spread
 from accordant.plans import tables
 from accordant.schema import Ratings
 
@@ -215,31 +215,48 @@ def brute_bootstrap(rows, n_boot, seed=0, level="nominal"):
     return np.percentile(out, [5, 50, 95])
 
 
-@pytest.mark.parametrize("per_task", [4096, 5])
-def test_bootstrap_against_brute_force(spark, monkeypatch, per_task):
-    monkeypatch.setattr(alpha, "PATTERNS_PER_TASK", per_task)
+@pytest.mark.parametrize("level", ["nominal", "ordinal", "interval"])
+def test_bootstrap_against_brute_force(spark, monkeypatch, level):
     rows = noisy_rows(120)
     table = facts(spark, rows, ["a", "b", "c"]).repartition(3)
     ratings = Ratings.of("abc")
-    reps = alpha.bootstrap(table, ratings, "nominal", n_bootstrap=1500, seed=4)
-    got = [r["difference"] for r in reps.select("difference").collect()]
+    reps = resample.bootstrap(table, ratings, level, n_bootstrap=1500, seed=4)
+    key = lambda r: r["rep"]
+    got = [r["difference"] for r in sorted(reps.collect(), key=key)]
     assert len(got) == 1500
-    want = brute_bootstrap(rows, 1500)
+    want = brute_bootstrap(rows, 1500, level=level)
     assert np.percentile(got, [5, 50, 95]) == pytest.approx(want, abs=0.012)
-    again = alpha.bootstrap(table.repartition(7), ratings, "nominal", n_bootstrap=1500, seed=4)
-    key = lambda r: r["rep"]
-    a = [r["difference"] for r in sorted(reps.collect(), key=key)]
-    b = [r["difference"] for r in sorted(again.collect(), key=key)]
-    assert a == pytest.approx(b, abs=1e-12)
-
-
-def test_resample_table_equals_hashed_draws(spark):
+    # The same draws however rows are dealt and wherever the tree is cut.
+    monkeypatch.setattr(resample, "LEAVES_PER_BUCKET", 3)
+    again = resample.bootstrap(table.repartition(7), ratings, level, n_bootstrap=1500, seed=4)
+    assert [r["difference"] for r in sorted(again.collect(), key=key)] == pytest.approx(got, abs=1e-9)
+
+
+def test_tree_deals_all_draws():
+    rng = np.random.default_rng(1)
+    spots = np.sort(rng.integers(0, 2**63 - 1, 400))
+    spots[20:23] = spots[20]  # one hash for several
+    sizes = rng.integers(1, 30, 400)
+    drawn = resample.split_draws(spots, sizes, np.full(300, float(sizes.sum())), 0, [7])
+    assert (drawn.sum(axis=1) == sizes.sum()).all() and (drawn >= 0).all()
+    assert drawn.mean(axis=0) == pytest.approx(sizes, rel=0.5, abs=1.0)
+    assert drawn.sum(axis=0).sum() == 300 * sizes.sum()
+    # Variance of a multinomial count is close to its mean here.
+    assert (drawn.var(axis=0) / sizes).mean() == pytest.approx(1.0, abs=0.05)
+
+
+@pytest.mark.parametrize("level", ["nominal", "ordinal", "interval", "ratio"])
+def test_resample_table_equals_hashed_draws(spark, level):
     table = facts(spark, noisy_rows(90), ["a", "b", "c"])
     ratings = Ratings.of("abc")
     draws = alpha.hashed_resamples(table, "item_id", 6)
-    left = alpha.resampled_patterns(table, draws, "item_id", ratings)
-    right = alpha.hash_resampled_patterns(table, "item_id", 6, ratings)
-    assert sorted(map(tuple, left.collect()), key=repr) == sorted(map(tuple, right.collect()), key=repr)
+    left = alpha.fixed_bootstrap(alpha.resampled_patterns(table, draws, "item_id", ratings), ratings, level)
+    right = resample.hashed_bootstrap(table, "item_id", 6, ratings, level)
+    key = lambda r: r["rep"]
+    a, b = (sorted(x.select("rep", "alpha_human", "alpha_model", "difference").collect(), key=key) for x in (left, right))
+    assert [r["rep"] for r in a] == [r["rep"] for r in b] == list(range(1, 7))
+    for x, y in zip(a, b):
+        assert tuple(x) == pytest.approx(tuple(y), abs=1e-9)
 
 
 def test_poisson_weights_have_mean_and_variance_one(spark):
@@ -255,7 +272,7 @@ def test_poisson_weights_have_mean_and_variance_one(spark):
 def test_percentile_interval_and_summary(spark):
     ratings = Ratings.of("abc")
     table = facts(spark, noisy_rows(200), ["a", "b", "c"], run_of=lambda i: i % 2 + 1)
-    reps = alpha.bootstrap(table, ratings, "nominal", n_bootstrap=200, seed=1)
+    reps = resample.bootstrap(table, ratings, "nominal", n_bootstrap=200, seed=1)
     per_run = alpha.non_inferiority(table, ratings, reps, "nominal")
     got = {r["run"]: r for r in per_run.collect()}
     deltas = {
@@ -271,6 +288,90 @@ def test_percentile_interval_and_summary(spark):
     assert one["verdict"] in ("all", "some", "none")
 
 
+# --- long form ------------------------------------------------------------------
+
+
+#: Four people, twelve items, with gaps: the published example of Krippendorff's alpha.
+PUBLISHED = ["123321412...", "12332241" + "25.3", ".33323422" + "51.", "12332441" + "251."]
+
+
+def published_long(spark):
+    rows = [(item, f"r{r}", int(v)) for r, line in enumerate(PUBLISHED) for item, v in enumerate(line) if v != "."]
+    return spark.createDataFrame(rows, "item int, rater string, value long").repartition(3)
+
+
+@pytest.mark.parametrize("level, want", [("nominal", 0.743), ("ordinal", 0.815), ("interval", 0.849), ("ratio", 0.797)])
+def test_alpha_long_published(spark, monkeypatch, level, want):
+    table = published_long(spark)
+    row = long_form.alpha_long(table, level).first()
+    assert row["alpha"] == pytest.approx(want, abs=6e-4) and row["n_items"] == 12 and row["n_values"] == 5
+    monkeypatch.setattr(long_form, "VALUES_PER_BLOCK", 2)  # several tiles
+    assert long_form.alpha_long(table, level).first()["alpha"] == pytest.approx(row["alpha"], abs=1e-12)
+
+
+@pytest.mark.parametrize("level", ["nominal", "ordinal", "interval", "ratio"])
+def test_alpha_long_equals_wide(spark, level):
+    table = facts(spark, noisy_rows(150), ["a", "b", "c"], run_of=lambda i: i % 2 + 1)
+    ratings = Ratings.of("abc")
+    panels = alpha.human_and_model_panels(ratings)
+    wide = alpha.panel_alphas(table, ratings, level, ["run"])
+    long = long_form.panel_alphas_long(long_form.to_long(table.where("split = 'train'"), ratings.columns, ["run"], "item_id"), panels, level, ["run"])
+    a, b = ({(r["run"], r["panel"]): r["alpha"] for r in x.collect()} for x in (wide, long))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+
+
+def test_alpha_long_without_enough(spark):
+    shape = "g int, item int, rater string, value double"
+    rows = [(1, 1, "a", 2.0), (1, 1, "b", 2.0), (1, 2, "a", 2.0), (1, 2, "b", 2.0)]  # one value
+    rows += [(2, 1, "a", 1.0), (2, 1, "b", 3.0), (3, 1, "a", 1.0), (3, 2, "b", 2.0)]  # one item; nothing shared
+    rows += [(None, 1, "a", 1e9), (None, 1, "b", 1e9 + 1), (None, 2, "a", 1e9 + 5), (None, 2, "b", 1e9 + 5), (4, 1, "a", None)]
+    table = spark.createDataFrame(rows, shape)
+    for level in alpha.LEVELS:
+        got = {r["g"]: (r["n_items"], r["alpha"]) for r in long_form.alpha_long(table, level, ["g"]).collect()}
+        assert got[1] == (2, None) and got[2] == (1, None) and got[3] == (2, None) and 4 not in got
+        assert got[None][0] == 2 and 0 < got[None][1] < 1 or level == "nominal"
+    near = long_form.alpha_long(table.where("g is null"), "interval").first()["alpha"]
+    assert near == pytest.approx(brute_alpha([[0.0, 1.0], [5.0, 5.0]], "interval"), abs=1e-9)  # far from zero
+    assert long_form.alpha_long(table.limit(0), "interval", ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("weights", [None, "linear", "quadratic"])
+def test_open_kappa_equals_listed_labels(spark, weights):
+    table = facts(spark, noisy_rows(200), ["a", "b", "c"])
+    ratings = Ratings.of("abc")
+    keys = ["run"]
+    counts = patterns.pair_counts(patterns.rating_patterns(table, ratings, keys, listwise=True), ratings, keys)
+    listed = {r["pair"]: r for r in kappa.kappas(counts, keys, [0, 1, 2], weights).collect()}
+    opened = {r["pair"]: r for r in long_form.open_kappas(counts, ["run", "pair"], weights).collect()}
+    assert listed.keys() == opened.keys()
+    for pair, r in opened.items():
+        assert (r["n_rows"], r["n_equal"]) == (listed[pair]["n_rows"], listed[pair]["n_equal"])
+        assert r["kappa"] == pytest.approx(listed[pair]["kappa"], abs=1e-12)
+
+
+def test_kappa_long_splits_crowded_items(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, f"r{r:02}", rng.choice("xyz")) for i in range(30) for r in range(40) if i < 3 or rng.random() < 0.1] + [(1, "r00", None)]
+    table = spark.createDataFrame(rows, "item int, rater string, value string")
+    key = lambda r: (r["rater_1"], r["rater_2"])
+    whole = sorted(long_form.kappa_long(table, (), "linear").collect(), key=key)
+    monkeypatch.setattr(long_form, "RATERS_PER_BLOCK", 7)
+    tiled = sorted(long_form.kappa_long(table, (), "linear").collect(), key=key)
+    assert len(whole) == 40 * 39 // 2 and whole == tiled
+
+
+def test_alt_long_equals_wide(spark):
+    table = facts(spark, noisy_rows(120), ["a", "b", "c"])
+    ratings = Ratings.of("abc")
+    long = long_form.to_long(table, ["a", "b", "c"], ["run"], "item_id")
+    guesses = table.select("run", F.col("item_id").alias("item"), F.col(ratings.model).alias("value"))
+    wide = alttest.alt_summary(table, ratings, ["run"], 0.2).first()
+    got = long_form.alt_long(long, guesses, ["run"], 0.2).first()
+    assert (got["winning_rate"], got["passed"]) == (wide["winning_rate"], wide["passed"])
+    assert got["p_values"] == pytest.approx(wide["p_values"], abs=1e-12)
+    assert got["avg_adv_prob"] == pytest.approx(wide["avg_adv_prob"], abs=1e-12)
+
+
 # --- alternative-annotator test -------------------------------------------------
 
 

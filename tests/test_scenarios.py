@@ -76,6 +76,52 @@ def test_improvement_stops_without_mistakes(spark):
     assert later == 0
 
 
+def test_improvement_goes_on_from_its_ledger(spark, tmp_path):
+    log, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    rows = data(spark, 50)
+    plain = dict(prefix="Label", subsample_size="all", validation_size=20)
+    asked = []
+
+    def counting(prompt, examples, history):
+        asked.append(len(history))
+        return f"Try {len(history)}: {{verbatim_text}}", f"change {len(history)}"
+
+    def improve(most, annotate, rewrite=counting):
+        scenario = Scenario("p", "Judge: {verbatim_text}", max_iterations=most, **plain)
+        return improve_prompt(rows, scenario, "item_id", ["a", "b", "c"], [0, 1], annotate, rewrite, ledger=ledger)
+
+    whole = improve_prompt(
+        rows, Scenario("p", "Judge: {verbatim_text}", max_iterations=3, **plain), "item_id", ["a", "b", "c"], [0, 1], annotator, counting
+    )
+    asked.clear()
+    improve(2, make_annotator(str(log)))
+    assert len(log.read_text()) == 100 and asked == [1]
+    again = improve(3, make_annotator(str(log)))
+    assert len(log.read_text()) == 150 and asked == [1, 2]  # only the third iteration is new
+    assert again == whole
+    assert improve(3, make_annotator(str(log))) == whole
+    assert len(log.read_text()) == 150 and asked == [1, 2]
+
+
+def test_text_labels(spark):
+    rows = [(i, f"text {i}", *(["yes", "no"][i % 2],) * 3) for i in range(40)]
+    table = spark.createDataFrame(rows, "item_id long, verbatim string, a string, b string, c string")
+    scenario = Scenario("p", "Judge: {verbatim_text}", prefix="Label", label_type="Text", subsample_size="all", validation_size=10, max_iterations=2)
+
+    def ask(prompt):
+        number = int(prompt.rsplit(" ", 1)[1])
+        if number == 3:
+            raise RuntimeError("no answer")
+        return f"Label: {['yes', 'no'][number % 2]}", (1, 1)
+
+    best, accuracy, history = improve_prompt(table, scenario, "item_id", ["a", "b", "c"], ["yes", "no"], ask, lambda *_: None)
+    assert len(history) == 1 and history[0]["a_train_acc"] == 1.0
+    shares = [history[0]["accuracy_train"], history[0]["accuracy_val"]]
+    assert sorted(shares) in ([0.9, 1.0], [29 / 30, 1.0])
+    with pytest.raises(ValueError, match="label_type"):
+        Scenario("p", "x", label_type="Number")
+
+
 def test_iterations_need_a_rewriter(spark):
     scenario = Scenario("p", "{verbatim_text}", max_iterations=2)
     with pytest.raises(ValueError, match="rewriter"):

@@ -15,11 +15,14 @@ from accordant.operators import (
     cost,
     generate,
     iterate,
-    joins,
+    label_state,
     prep,
     prompts,
     replies,
+    reply_store,
     sampling,
+    scanner,
+    spread,
 )
 from accordant.schema import Ratings, require_columns, with_fact_columns
 from accordant.sources import delimited
@@ -147,21 +150,13 @@ def test_split_sizes(spark):
     assert sampling.train_val_split(spark.range(5), "id", 0).where("split = 'val'").count() == 0
 
 
-# --- joins ------------------------------------------------------------------------
-
-
-@pytest.mark.parametrize("share", [0.2, 0.001, 0.9])
-def test_lookup_join_with_a_hot_key(spark, share, monkeypatch):
-    rows = [(i, 7 if i % 3 == 0 else i % 50) for i in range(6000)] + [(6000, None), (6001, 999)]
-    left = spark.createDataFrame(rows, "i int, k int")
-    right = spark.createDataFrame([(k, f"v{k}") for k in range(50)], "k int, v string")
-    got = joins.lookup_join(left, right, "k", share).select("i", "k", "v")
-    assert rows_of(got, "i") == rows_of(left.join(right, "k", "left").select("i", "k", "v"), "i")
-
-
-def test_frequent_keys_are_few(spark):
-    rows = spark.range(20000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
-    assert rows_of(joins.frequent_keys(joins.key_counts(rows, "k"), "k")) == [(-1,)]
+def test_rows_without_a_key_are_never_chosen(spark):
+    df = spark.createDataFrame([(1,), (None,), (2,)], "k long")
+    for n in (1, 2, 3, 5):
+        chosen = {r["k"] for r in sampling.exact_sample(df, "k", n).collect()}
+        assert None not in chosen and len(chosen) == min(n, 2)
+    split = {r["k"]: r["split"] for r in sampling.train_val_split(df, "k", 5).collect()}
+    assert split == {1: "val", 2: "val", None: "train"}
 
 
 # --- replies ----------------------------------------------------------------------
@@ -324,9 +319,125 @@ def test_examples(spark):
 
 def test_ledger(spark):
     day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
-    runs = spark.createDataFrame([(day(n * 9), n / 1000) for n in range(20)], "at timestamp, total_cost double")
-    got = [r["cumulative_cost"] for r in cost.ledger(runs, "at").orderBy("at").collect()]
+    # Two runs at each time, told apart by their id.
+    runs = spark.createDataFrame([(day(n // 2 * 9), n, n / 1000) for n in range(20)], "at timestamp, run int, total_cost double")
+    done = cost.ledger(runs.repartition(5), "at", "run")
+    got = [r["cumulative_cost"] for r in done.orderBy("at", "run").collect()]
     assert got == pytest.approx([sum(range(n + 1)) / 1000 for n in range(20)])
+    assert done.columns == ["at", "run", "total_cost", "cumulative_cost"]
+    assert cost.ledger(runs.limit(0), "at", "run").count() == 0
+
+
+def test_running_sums_over_many_stretches(spark):
+    rows = [(g, i, (i * 7 + (g or 5)) % 11) for g in (None, 1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, i int, v long").repartition(6)
+    got = {(r["g"], r["i"]): r["v_upto"] for r in spread.running_sums(df, ["g"], ["i"], ["v"]).collect()}
+    for g in (None, 1, 2):
+        total = 0
+        for _, i, v in (r for r in rows if r[0] == g):
+            total += v
+            assert got[g, i] == total
+
+
+def test_tiles_meet_every_pair_once(spark):
+    rows = [(g, i) for g, n in ((None, 90), (1, 4), (2, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, i int").withColumn("at", F.col("i"))
+    dealt = spread.blocks(df, ["g"], F.col("at"), F.col("at"), 16)
+    seen = {}
+    for r in spread.tiles(dealt, ["g"]).collect():
+        same = r["i"] == r["j"]
+        for x in r["left"]:
+            for y in r["right"]:
+                if not same or x < y:
+                    pair = r["g"], min(x, y), max(x, y)
+                    seen[pair] = seen.get(pair, 0) + 1
+    want = {(g, x, y) for g, x in rows for h, y in rows if g == h and x < y}
+    assert set(seen) == want and set(seen.values()) == {1}
+
+
+# --- scanning replies -----------------------------------------------------------------
+
+
+def test_scanner_knows_strings_comments_and_depth(spark):
+    cases = {
+        '{"a": 1} and {"b": {"c": 2}}': ['{"a": 1}', '{"b": {"c": 2}}'],
+        '{"u": "http://x/*y*/#z"}': ['{"u": "http://x/*y*/#z"}'],
+        '{"a": 1 // {one}\n, "b": 2 # }\n}': ['{"a": 1 \n, "b": 2 \n}'],
+        '{"a": /* } */ 3}': ['{"a":  3}'],
+        r'{"a": "quote \" and } brace"} tail }': [r'{"a": "quote \" and } brace"}'],
+        '{"never": {"closed": 1}': [],
+        'nothing': [],
+        '': [],
+        '{}': ['{}'],
+        'é日 {"é": "日"} 😀': ['{"é": "日"}'],
+    }
+    for text, want in cases.items():
+        row = spark.createDataFrame([(text,)], "t string").select(scanner.objects(F.col("t")).alias("o")).first()
+        assert row["o"] == want, text
+    assert spark.createDataFrame([(None,)], "t string").select(scanner.objects(F.col("t")).alias("o")).first()["o"] is None
+
+
+def test_store_asks_each_prompt_once(spark, tmp_path):
+    log, store = tmp_path / "calls", str(tmp_path / "store")
+
+    def annotator(fails):
+        def ask(prompt):
+            with open(log, "a") as out:
+                out.write(f"{prompt}\n")
+            if fails and prompt.startswith("b"):
+                raise RuntimeError("busy")
+            return f"reply to {prompt}", (len(prompt), 1)
+
+        return ask
+
+    rows = [(i, p) for i, p in enumerate(["a1", "b1", "a1", "b2", "", None, "a2"])]
+    df = spark.createDataFrame(rows, "i int, prompt string").repartition(3)
+    first = reply_store.annotate_stored(df, annotator(True), store, n_completions=2, partitions=3)
+    got = {(r["i"], r["completion_no"]): r for r in first.collect()}
+    assert len(got) == 14 and sorted(log.read_text().split("\n")[:-1]) == sorted(["a1", "b1", "b2", "", "a2"] * 2)
+    assert got[1, 2]["error"] == "busy" and got[1, 2]["response_text"] is None and got[0, 1]["response_text"] == "reply to a1"
+    log.write_text("")
+    again = reply_store.annotate_stored(df, annotator(False), store, n_completions=2)
+    got = {(r["i"], r["completion_no"]): r for r in again.collect()}
+    assert sorted(log.read_text().split()) == ["b1", "b1", "b2", "b2"]
+    assert got[1, 1]["response_text"] == "reply to b1" and got[1, 1]["calls"] == 2 and got[0, 1]["calls"] == 1
+    log.write_text("")
+    reply_store.annotate_stored(df, annotator(False), store, n_completions=2).collect()
+    assert log.read_text() == ""
+    reply_store.annotate_stored(df.where("i = 0"), annotator(False), store, tag="other").collect()
+    assert log.read_text().split() == ["a1"]
+
+
+def test_text_and_number_labels(spark):
+    texts = ["Label: Good.", 'label - "very good",', "no label", 'say {"Label": "x"}', None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(replies.text_code(F.col("t"), "Label")).collect()]
+    assert got == ["Good", "very good", None, 'x"}', None]
+    assert df.select(replies.text_code(F.col("t"))).first()[0] == "Label: Good"
+    values = spark.createDataFrame([("score 3.5",), ("none",), ("-2",), (None,)], "v string")
+    assert [r[0] for r in values.select(replies.numeric_or_text(F.col("v"), "Integer")).collect()] == ["3", "none", "2", None]
+    assert [r[0] for r in values.select(replies.numeric_or_text(F.col("v"), "Float")).collect()] == ["3.5", "none", "-2.0", None]
+
+
+# --- labels in increments -------------------------------------------------------------
+
+
+def test_increments_do_not_shuffle_the_snapshot(spark):
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=n)
+    shape = "event_id long, item_id long, rater string, ts timestamp, label string, invalid boolean"
+    first = spark.createDataFrame([(1, 1, "a", at(5), "x", False), (2, 1, "b", at(1), "", True), (3, 2, "a", at(1), "y", None)], shape)
+    second = spark.createDataFrame([(4, 1, "a", at(3), "late", False), (5, 2, "a", at(1), "z", True), (6, 3, "b", at(2), "new", False), (7, 1, "b", at(9), "q", False)], shape)
+    labels = label_state.snapshot(first, "item_id", buckets=4)
+    merged = label_state.with_increment(labels, second, "item_id")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    joined = plan.index("SortMergeJoin")
+    # Events are dealt by rater and item, then by item; the snapshot is read as it lies.
+    assert plan[joined:].count("Exchange") == 2 and plan.count("Exchange") == 2 and "Bucketed: true" in plan
+    labels = label_state.apply_increment(labels, second, "item_id", buckets=4)
+    docs = spark.createDataFrame([(1, "own"), (2, None), (3, None), (4, "own")], "item_id long, Rater_a string")
+    got = {r["item_id"]: r for r in label_state.apply_snapshot(docs, labels, "item_id", ["a", "b"]).collect()}
+    assert [(got[i]["Rater_a"], got[i]["Rater_b"]) for i in (1, 2, 3, 4)] == [("x", "q"), ("z", None), (None, "new"), ("own", None)]
+    assert [(got[i]["Invalid_a"], got[i]["Invalid_b"]) for i in (1, 2, 3, 4)] == [(False, True), (True, False), (False, False), (False, False)]
 
 
 # --- prompts, generation --------------------------------------------------------------
@@ -364,20 +475,39 @@ def test_merge_keeps_failed_rows(spark):
 def test_encoding_fallback(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('id;t\n1;"café\nau lait"\n'.encode("utf-8"))
     (tmp_path / "b.csv").write_bytes("id;t\n2;déjà\n".encode("latin-1"))
-    groups = delimited.files_by_encoding(spark, str(tmp_path))
-    assert [len(v) for v in groups.values()] == [1, 1]
-    got = delimited.load_table(spark, str(tmp_path), delimiter=";")
+    assert sorted(r["utf8"] for r in delimited.file_encodings(spark, str(tmp_path)).collect()) == [False, True]
+    got = delimited.load_table(spark, str(tmp_path), delimiter=";", multiline=True)
     assert rows_of(got, "id") == [("1", "café\nau lait"), ("2", "déjà")]
     with pytest.raises(ValueError, match="unsupported"):
         delimited.load_table(spark, str(tmp_path), "xlsx")
 
 
+def test_names_and_types_of_mixed_encodings(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("clé;t;n\n1;日本 é;7\n2;;\n".encode("utf-8"))
+    got = delimited.read_any_encoding(spark, str(tmp_path))
+    assert got.columns == ["clé", "t", "n"] and rows_of(got, "clé") == [("1", "日本 é", "7"), ("2", None, None)]
+    (tmp_path / "b.csv").write_bytes("clé;t;n\n3;déjà;8\n".encode("latin-1"))
+    typed = delimited.read_any_encoding(spark, str(tmp_path), schema="k int, t string, n double")
+    assert rows_of(typed, "k") == [(1, "日本 é", 7.0), (2, None, None), (3, "déjà", 8.0)]
+
+
+def test_large_files_are_split(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("a;b\n" + "".join(f"{i};{'x' * 80}\n" for i in range(40000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400000")
+    try:
+        assert delimited.read_csv(spark, str(tmp_path)).rdd.getNumPartitions() > 4
+        assert delimited.read_any_encoding(spark, str(tmp_path)).count() == 40000
+        assert delimited.read_csv(spark, str(tmp_path), multiline=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_quotes_gaps_and_separators(spark, tmp_path):
     data = [(1, 'say "hi"; ok', None), (2, " padded ", 3), (3, "line\nbreak", None)]
     df = spark.createDataFrame(data, "i int, t string, n int")
     path = str(tmp_path / "out")
     delimited.write_csv(df, path)
-    assert rows_of(delimited.read_csv(spark, path, schema=df.schema), "i") == data
+    assert rows_of(delimited.read_csv(spark, path, schema=df.schema, multiline=True), "i") == data
 
 
 def test_results_without_and_with_verbatim(spark, tmp_path):
