@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from accordant.operators import alttest
 from accordant.operators.alpha import LEVELS
-from accordant.operators.kappa import WEIGHTS
+from accordant.operators.kappa import open_kappas
 from accordant.operators.spread import blocks, match, running_sums, tiles
 from accordant.session import settle
 
@@ -138,50 +138,6 @@ def panel_alphas_long(ratings: DataFrame, panels: Mapping[str, Sequence[str]], l
 # --- kappa ----------------------------------------------------------------------------
 
 
-def open_kappas(counts: DataFrame, keys: Sequence[str], weights: str | None = None) -> DataFrame:
-    """``keys, n_rows, n_equal, kappa`` from confusion counts ``keys, a, b, n`` without a label list.
-
-    A label's position is its rank among those the pair of raters uses.  Chance
-    agreement follows from margins: by label (unweighted), from sums of positions
-    and of their squares (quadratic), or from both raters' cumulative margins,
-    since two positions differ by the number of steps between them (linear).  No
-    pair of labels is listed beyond those that occur.
-    """
-    if weights not in WEIGHTS:
-        raise ValueError(f"weights must be one of {WEIGHTS}")
-    keys, n = list(keys), F.col("n")
-    none = F.lit(0).cast("bigint")
-    sides = F.array(*[F.struct(F.col(x).alias("label"), r.alias("r"), c.alias("c")) for x, r, c in (("a", n, none), ("b", none, n))])
-    margins = counts.select(*keys, F.inline(sides)).groupBy(*keys, "label").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    rows = F.sum("n").alias("n_rows")
-    equal = F.sum(F.when(F.col("a") == F.col("b"), n).otherwise(0)).alias("n_equal")
-    r, c = F.col("r").cast("double"), F.col("c").cast("double")
-    if weights is None:
-        seen = counts.groupBy(*keys).agg(rows, equal, F.sum(F.when(F.col("a") != F.col("b"), n).otherwise(0)).cast("double").alias("observed"))
-        chance = margins.groupBy(*keys).agg((F.sum(r) * F.sum(c) - F.sum(r * c)).alias("expected"))
-    else:
-        ranked = settle(running_sums(margins.withColumn("one", F.lit(1).cast("bigint")), keys, ["label"], ["r", "c", "one"]))
-        place = ranked.select(*keys, "label", F.col("one_upto").alias("place"))
-        placed = counts
-        for side in ("a", "b"):
-            placed = match(placed, place.select(*keys, F.col("label").alias(side), F.col("place").alias(f"{side}_place")), [*keys, side])
-        gap = (F.col("a_place") - F.col("b_place")).cast("double")
-        weight = F.abs(gap) if weights == "linear" else gap * gap
-        seen = placed.groupBy(*keys).agg(rows, equal, F.sum(n * weight).alias("observed"))
-        p = F.col("one_upto").cast("double")
-        if weights == "quadratic":
-            square = F.sum(r) * F.sum(c * p * p) + F.sum(c) * F.sum(r * p * p) - 2.0 * F.sum(r * p) * F.sum(c * p)
-            chance = ranked.groupBy(*keys).agg(square.alias("expected"))
-        else:
-            # A step lies between two labels where one is at or below it and the other above.
-            totals = ranked.groupBy(*keys).agg(F.sum("r").cast("double").alias("all"))
-            low_r, low_c, whole = F.col("r_upto").cast("double"), F.col("c_upto").cast("double"), F.col("all")
-            step = low_r * (whole - low_c) + low_c * (whole - low_r)
-            chance = match(ranked, totals, keys).groupBy(*keys).agg(F.sum(step).alias("expected"))
-    kappa = 1.0 - F.try_divide(F.col("observed") * F.col("n_rows"), F.col("expected"))
-    return match(seen, chance, keys).select(*keys, "n_rows", "n_equal", kappa.alias("kappa"))
-
-
 def rater_pairs(ratings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, rater_1, rater_2, a, b, n``: confusion counts of every two raters who share items.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from accordant.functions import text as X
 
-# Wording of the prompts.
+# Wording of the prompts, here and in the functions below.
 FORMAT_HEADER = "The data has the following columns:\n"
 DEFAULT_INSTRUCTIONS = "You are an assistant that evaluates data entries."
 SAMPLE_VALUE = "Your text here"

@@ -33,6 +33,7 @@ class Scenario:
     json_output: bool = False
     selected_fields: tuple[str, ...] = ()
     prefix: str | None = None
+    # The defaults of a scenario.
     iteration: int = 1
     subsample_size: int | str = 20
     use_validation_set: bool = True

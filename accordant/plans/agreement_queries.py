@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from accordant.operators import classification, kappa, patterns
 from accordant.plans.registry import query
+from accordant.schema import with_fact_columns
 from accordant.plans.tables import FACTS_SQL, ITEMS_SQL, LABELS, RATERS, RATINGS, facts, items
 
 KEYS = ["prompt_name", "iteration", "run", "split"]
@@ -55,13 +56,11 @@ _K = ", ".join(KEYS)
 
 def _model_kappa(weights, sql_weight):
     sql = f"""WITH {COMPLETE_SQL}, {kappa_sql(_K, 'lw', sql_weight)}
-    SELECT {_K}, pair, n_rows, round(kappa, 9) AS kappa FROM kap WHERE kind = 'model_human'"""
+    SELECT {_K}, pair, kind, n_rows, round(kappa, 9) AS kappa FROM kap WHERE kind IN ('model_human', 'human_human')"""
 
     def run(spark, sf):
         table = kappa.pairwise_kappas(facts(spark, sf), RATINGS, LABELS, weights)
-        return table.where("kind = 'model_human'").select(
-            *KEYS, "pair", "n_rows", F.round("kappa", 9).alias("kappa")
-        )
+        return table.select(*KEYS, "pair", "kind", "n_rows", F.round("kappa", 9).alias("kappa"))
 
     return sql, run
 
@@ -99,6 +98,15 @@ def kappa_means(spark, sf):
     )
 
 
+@query(
+    "prj_fact_columns",
+    f"""WITH {ITEMS_SQL} SELECT item_id, rater_a, rater_b, rater_c, y AS model_pred, 'streamlit_analysis' AS prompt_name, 1 AS iteration, 'train' AS split, 1 AS run FROM items""",
+)
+def prj_fact_columns(spark, sf):
+    """Rated items as a results table: absent scenario columns get their defaults."""
+    return with_fact_columns(items(spark, sf), "y").select("item_id", *RATERS, "model_pred", "prompt_name", "iteration", "split", "run")
+
+
 GRAINS_SQL = """gr AS (SELECT prompt_name, iteration, 'aggregated' AS run, run AS r, split, model_pred, rater_a, rater_b, rater_c, gt FROM lw
   UNION ALL SELECT prompt_name, iteration, CAST(run AS VARCHAR), run, split, model_pred, rater_a, rater_b, rater_c, gt FROM lw)"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accordant.operators import alpha, resample
+from accordant.operators.patterns import rating_patterns
 from accordant.plans.registry import query
 from accordant.plans.tables import FACTS_SQL, RATERS, RATINGS, facts
 
@@ -25,6 +26,7 @@ _DELTA = {
     "ordinal": "CASE WHEN x.c = y.c THEN 0.0 WHEN x.c < y.c THEN pow(y.cum - x.cum + (x.nc - y.nc) / 2, 2) ELSE pow(x.cum - y.cum + (y.nc - x.nc) / 2, 2) END",
 }
 
+EVERY_SQL = FACTS_SQL + ", ev AS (SELECT *, item_id AS iid, 1 AS w FROM d)"
 TRAIN_SQL = FACTS_SQL + ", tr AS (SELECT *, item_id AS iid, 1 AS w FROM d WHERE split = 'train')"
 
 
@@ -48,14 +50,16 @@ al{tag} AS (SELECT {keys}, panel, 1 - (max(gd{tag}.tot) - 1) * sum(coalesce(o, 0
 
 
 def _level_query(level: str):
-    sql = f"""WITH {TRAIN_SQL}, {alpha_sql(_K, 'tr', HUMAN, level)}, {alpha_sql(_K, 'tr', WITH_MODEL, level, '2')}
-    SELECT {_K}, round(al.alpha, 9) AS alpha_raters, round(al2.alpha, 9) AS alpha_with_model FROM al JOIN al2 USING ({_K})"""
+    keys = f"{_K}, split"
+    sql = f"""WITH {EVERY_SQL}, {alpha_sql(keys, 'ev', HUMAN, level)}, {alpha_sql(keys, 'ev', WITH_MODEL, level, '2')}
+    SELECT {keys}, round(al.alpha, 9) AS alpha_raters, round(al2.alpha, 9) AS alpha_with_model FROM al JOIN al2 USING ({keys})"""
 
     def run(spark, sf):
-        patterns = alpha.train_patterns(facts(spark, sf), RATINGS, RUN)
+        groups = [*RUN, "split"]
+        patterns = rating_patterns(facts(spark, sf), RATINGS, groups, listwise=False)
         panels = {"raters": RATERS, "with_model": RATINGS.columns}
-        table = alpha.alphas_from_coincidences(alpha.coincidences(patterns, panels, RUN), RUN, level)
-        return table.groupBy(*RUN).agg(
+        table = alpha.alphas_from_coincidences(alpha.coincidences(patterns, panels, groups), groups, level)
+        return table.groupBy(*groups).agg(
             *[
                 F.round(F.max(F.when(F.col("panel") == p, F.col("alpha"))), 9).alias(f"alpha_{p}")
                 for p in panels

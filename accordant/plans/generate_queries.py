@@ -119,17 +119,14 @@ def gen_annotation_prompt(spark, sf):
 
 
 def _merged(spark, sf):
-    rows = _docs(spark, sf).select(F.col("doc_id").alias("generation_id"), "lang")
-    replies = (
-        responses(spark, sf)
-        .where("completion_no = 1")
-        .select(F.col("item_id").alias("generation_id"), "response_text")
-    )
+    every = F.explode(F.sequence(F.lit(1), F.lit(3)))
+    rows = _docs(spark, sf).select("doc_id", "lang", every.alias("k")).select((F.col("doc_id") * 4 + F.col("k")).alias("generation_id"), "lang")
+    replies = responses(spark, sf).select((F.col("item_id") * 4 + F.col("completion_no")).alias("generation_id"), "response_text")
     return generate.merge_annotations(rows, replies, "generation_id", ["Classification"])
 
 
-_MERGED_SQL = f"""{REPLIES_SQL}, mg AS (SELECT d.doc_id AS generation_id, d.lang, coalesce({_FIELD}, '') AS "Classification", ({_FIELD}) IS NOT NULL AS annotated
- FROM documents d LEFT JOIN responses r ON r.item_id = d.doc_id AND r.completion_no = 1)"""
+_MERGED_SQL = f"""{REPLIES_SQL}, mg AS (SELECT d.doc_id * 4 + n.k AS generation_id, d.lang, coalesce({_FIELD}, '') AS "Classification", ({_FIELD}) IS NOT NULL AS annotated
+ FROM documents d CROSS JOIN (SELECT * FROM (VALUES (1),(2),(3)) AS t(k)) n LEFT JOIN responses r ON r.item_id = d.doc_id AND r.completion_no = n.k)"""
 
 
 @query("gen_annotate_merge", f"WITH {_MERGED_SQL} SELECT * FROM mg")

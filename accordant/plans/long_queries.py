@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.operators import alpha, long_form
+from accordant.operators import alpha, kappa, long_form
 from accordant.plans.alpha_queries import RUN, TRAIN_SQL
 from accordant.plans.registry import query
 from accordant.plans.tables import RATERS, RATINGS, facts, table
@@ -138,7 +138,7 @@ def kappa_open_domain(spark, sf):
     bands = prices(spark, sf).where("rater_a is not null and rater_b is not null")
     counts = bands.select("status", F.floor(F.col("rater_a") / 10000).alias("a"), F.floor(F.col("rater_b") / 10000).alias("b"))
     counts = counts.groupBy("status", "a", "b").agg(F.count("*").alias("n"))
-    parts = [long_form.open_kappas(counts, ["status"], w).withColumn("weights", F.lit(name)) for name, (w, _) in _WEIGHTS.items()]
+    parts = [kappa.open_kappas(counts, ["status"], w).withColumn("weights", F.lit(name)) for name, (w, _) in _WEIGHTS.items()]
     return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 

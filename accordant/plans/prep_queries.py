@@ -169,13 +169,11 @@ def agg_annotation_counts(spark, sf):
 
 @query(
     "flt_remaining",
-    f"""WITH {FACTS_SQL}, done AS (SELECT item_id FROM d WHERE run = 2 AND prompt_name = 'p_a' AND split = 'train' AND rater_a IS NOT NULL)
+    f"""WITH {FACTS_SQL}, done AS (SELECT item_id FROM d WHERE run = 2 AND rater_a IS NOT NULL)
     SELECT item_id, rater_a, rater_c FROM items i WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.item_id = i.item_id)""",
 )
 def flt_remaining(spark, sf):
-    done = facts(spark, sf).where(
-        "prompt_name = 'p_a' AND split = 'train' AND rater_a IS NOT NULL"
-    )
+    done = facts(spark, sf).where("rater_a IS NOT NULL")
     return prep.remaining(
         items(spark, sf), done, "item_id", keep=["item_id", "rater_a", "rater_c", "other"], run=2
     )
@@ -347,12 +345,12 @@ def agg_majority_vote(spark, sf):
 
 @query(
     "agg_coverage",
-    f"""WITH {FACTS_SQL}, done AS (SELECT DISTINCT item_id FROM d WHERE prompt_name = 'p_a' AND rater_a IS NOT NULL),
+    f"""WITH {FACTS_SQL}, done AS (SELECT DISTINCT item_id FROM d WHERE rater_a IS NOT NULL),
     j AS (SELECT i.item_id, (rater_a IS NOT NULL AND rater_b IS NOT NULL AND rater_c IS NOT NULL) AS f, done.item_id IS NOT NULL AS a FROM items i LEFT JOIN done ON done.item_id = i.item_id)
     SELECT count(*) AS total_rows, count(*) FILTER (WHERE f) AS annotated_rows, count(*) FILTER (WHERE NOT f) AS non_annotated_rows,
     count(*) FILTER (WHERE a) AS analyzed_rows, round(count(*) FILTER (WHERE a) / count(*), 9) AS analyzed_share FROM j""",
 )
 def agg_coverage(spark, sf):
-    done = facts(spark, sf).where("prompt_name = 'p_a' AND rater_a IS NOT NULL")
+    done = facts(spark, sf).where("rater_a IS NOT NULL")
     out = annotate.coverage(items(spark, sf), done, "item_id", RATERS)
     return out.withColumn("analyzed_share", F.round("analyzed_share", 9))

@@ -25,6 +25,7 @@ _FIELD = (
     rf"CASE WHEN json_valid({_OBJECT}) THEN json_extract_string({_OBJECT}, '$.Classification') END"
 )
 _REASON = rf"CASE WHEN json_valid({_OBJECT}) THEN json_extract_string({_OBJECT}, '$.Reasoning') END"
+# The four accepted shapes of a prefixed code.
 _PREFIX = (
     r"TRY_CAST(coalesce("
     r"nullif(regexp_extract(response_text, '(?im)\bclassification\s*[:\-]?\s*([+-]?\d+)\s*$', 1), ''),"
@@ -319,13 +320,13 @@ def cost_totals(spark, sf):
 
 @query(
     "cost_estimate",
-    f"""WITH {REPLIES_SQL}, {_COSTS}, c1 AS (SELECT item_id, cost FROM costs WHERE completion_no = 1)
-    SELECT (SELECT cost FROM c1 ORDER BY item_id LIMIT 1) AS cost_for_one, count(*) AS n_rows,
-    round((SELECT cost FROM c1 ORDER BY item_id LIMIT 1) * count(*) * 3, 9) AS total_cost_estimate FROM c1""",
+    f"""WITH {REPLIES_SQL}, {_COSTS}, c1 AS (SELECT item_id * 4 + completion_no AS k, cost FROM costs)
+    SELECT (SELECT cost FROM c1 ORDER BY k LIMIT 1) AS cost_for_one, count(*) AS n_rows,
+    round((SELECT cost FROM c1 ORDER BY k LIMIT 1) * count(*) * 3, 9) AS total_cost_estimate FROM c1""",
 )
 def cost_estimate(spark, sf):
-    first = cost.with_cost(responses(spark, sf), PRICES).where("completion_no = 1")
-    return cost.estimate(first, "item_id", n_runs=3).withColumn(
+    every = cost.with_cost(responses(spark, sf), PRICES).withColumn("k", F.col("item_id") * 4 + F.col("completion_no"))
+    return cost.estimate(every, "k", n_runs=3).withColumn(
         "total_cost_estimate", F.round("total_cost_estimate", 9)
     )
 

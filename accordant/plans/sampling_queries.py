@@ -79,11 +79,11 @@ def smp_grid(spark, sf):
 
 @query(
     "set_union_results",
-    f"""WITH {FACTS_SQL} SELECT item_id, run, model_pred, CAST(rater_a AS BIGINT) AS rater_a FROM d WHERE prompt_name = 'p_a'
+    f"""WITH {FACTS_SQL} SELECT item_id, run, model_pred, CAST(rater_a AS BIGINT) AS rater_a FROM d
     UNION ALL SELECT item_id, 4 AS run, y AS model_pred, CAST(NULL AS BIGINT) AS rater_a FROM items WHERE rater_b IS NULL""",
 )
 def set_union_results(spark, sf):
-    before = facts(spark, sf).where("prompt_name = 'p_a'").select("item_id", "run", "model_pred", "rater_a")
+    before = facts(spark, sf).select("item_id", "run", "model_pred", "rater_a")
     added = items(spark, sf).where("rater_b IS NULL").select(
         "item_id", F.lit(4).alias("run"), F.col("y").alias("model_pred")
     )

@@ -54,12 +54,12 @@ def src_results_split(spark, sf):
 
 @query(
     "src_results_parquet",
-    f"WITH {FACTS_SQL} SELECT prompt_name, iteration, run, item_id, split, model_pred FROM d WHERE prompt_name = 'p_b' AND run = 3",
+    f"WITH {FACTS_SQL} SELECT prompt_name, iteration, run, item_id, split, model_pred FROM d",
 )
 def src_results_parquet(spark, sf):
     path = scratch_path(spark, "detailed-results")
     delimited.write_results(facts(spark, sf), path)
-    back = spark.read.parquet(path).where("prompt_name = 'p_b' AND run = 3")
+    back = spark.read.parquet(path)
     return back.select("prompt_name", "iteration", "run", "item_id", "split", "model_pred")
 
 

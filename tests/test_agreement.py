@@ -342,7 +342,7 @@ def test_open_kappa_equals_listed_labels(spark, weights):
     keys = ["run"]
     counts = patterns.pair_counts(patterns.rating_patterns(table, ratings, keys, listwise=True), ratings, keys)
     listed = {r["pair"]: r for r in kappa.kappas(counts, keys, [0, 1, 2], weights).collect()}
-    opened = {r["pair"]: r for r in long_form.open_kappas(counts, ["run", "pair"], weights).collect()}
+    opened = {r["pair"]: r for r in kappa.open_kappas(counts, ["run", "pair"], weights).collect()}
     assert listed.keys() == opened.keys()
     for pair, r in opened.items():
         assert (r["n_rows"], r["n_equal"]) == (listed[pair]["n_rows"], listed[pair]["n_equal"])
