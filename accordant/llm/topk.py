@@ -59,21 +59,20 @@ class CellFile:
         """Improve each query's list of (-score, id) with what this stretch holds."""
         middle, reach = self.bounds(queries)
         for q, query_id in enumerate(query_ids):
+            # However many rows carry the query's own id, none is a candidate or sets a bound.
+            rows = np.flatnonzero(self.ids != query_id)
             upper = middle[q] + reach[q]
             found = best[q]
             if len(found) == k:
-                rows = np.flatnonzero(upper >= -found[-1][0])
-            else:
-                # The k-th lower bound of this stretch; one more, as the query's own row may be among them.
-                kth = min(k, len(upper) - 1)
-                floor = np.partition(middle[q], len(upper) - 1 - kth)[len(upper) - 1 - kth] - reach[q]
-                rows = np.flatnonzero(upper >= floor)
+                rows = rows[upper[rows] >= -found[-1][0]]
+            elif len(rows) > k:
+                lower = middle[q][rows] - reach[q]
+                rows = rows[upper[rows] >= np.partition(lower, len(lower) - k)[len(lower) - k]]
             rows = rows[np.argsort(-upper[rows], kind="stable")]
             for at in range(0, len(rows), EXACT_AT_ONCE):
                 if len(found) == k and upper[rows[at]] < -found[-1][0]:
                     break
                 part = rows[at : at + EXACT_AT_ONCE]
-                part = part[self.ids[part] != query_id]
                 found = sorted([*found, *((-s, i) for s, i in zip(self.scores(queries[q], part), self.ids[part].tolist()))])[:k]
             best[q] = found
 

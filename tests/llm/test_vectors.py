@@ -65,6 +65,19 @@ def test_top_k(spark, k):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("repeats", [1, 4, 8])
+def test_top_k_with_repeats_of_the_query(spark, repeats):
+    rng = np.random.default_rng(repeats)
+    vectors = rng.normal(size=(300, 64))
+    vectors[1:40] = vectors[0] + 0.05 * rng.normal(size=(39, 64))  # near the query
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame([rows[0]] * (repeats - 1) + rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    whole = np.floor(256 * vectors).astype(np.int64)
+    best = sorted((-int(whole[0] @ whole[i]), i) for i in range(1, 300))[:5]
+    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(0)
     exact = np.floor(256 * rng.normal(size=(2000, 16)))
