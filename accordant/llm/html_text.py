@@ -34,11 +34,14 @@ ASIDE_WORDS = frozenset(
 )
 CONTENT = frozenset("article main".split())
 
+# A tag ends before the next "<" outside of quotes, so an open one is given up at once.
+INSIDE = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>""",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)({INSIDE})>|</?[a-zA-Z][^<>]*+>|<[!?/][^<>]*+>",
     re.S | re.I,
 )
+#: Parts of a name that say something is not there, or only beside: no-sidebar, has-banner, ad-free.
+QUALIFIERS = frozenset("no non not without with has have hide hidden free".split())
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[A-Za-z]+")
 SPACE = re.compile(r"\s+")
@@ -54,7 +57,7 @@ def _named_aside(attributes: str) -> bool:
         value = match[1] or match[2] or match[3] or ""
         for name in value.split():
             parts = [p.lower() for p in PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
-            if parts and (parts[0] in ASIDE_WORDS or parts[-1] in ASIDE_WORDS):
+            if parts and (parts[0] in ASIDE_WORDS or parts[-1] in ASIDE_WORDS) and not (parts[0] in QUALIFIERS or parts[-1] in QUALIFIERS):
                 return True
     return False
 
@@ -93,14 +96,26 @@ def visible(tokens: list[tuple[int, str, bool]], ends: dict[int, int]) -> list[i
     """Places of the tokens outside elements that are never article text.
 
     Such an element that never closes hides nothing but its tag.  A page header
-    stands before the article; one inside it holds its title.
+    stands before the article; one inside it holds its title.  What holds an
+    article or main element is a wrapper, whatever its name, and so is, on a page
+    without any, what holds most of the words.
     """
+    words, marks = [0], [0]
+    for kind, name, _ in tokens:
+        words.append(words[-1] + (len(name.split()) if kind == TEXT else 0))
+        marks.append(marks[-1] + (kind == OPEN and name in CONTENT))
+
+    def wraps(i: int, end: int) -> bool:
+        if marks[-1]:
+            return marks[end] > marks[i]
+        return tokens[i][1] not in ASIDE and 2 * (words[end] - words[i]) > words[-1]
+
     out, i, inside = [], 0, 0
     while i < len(tokens):
         kind, name, aside = tokens[i]
         if kind != TEXT and name in CONTENT:
             inside = max(0, inside + (1 if kind == OPEN else -1))
-        elif kind == OPEN and name not in ("html", "body") and (aside or name == "header" and not inside):
+        elif kind == OPEN and name not in ("html", "body") and (aside or name == "header" and not inside) and not wraps(i, ends.get(i, i)):
             i = ends.get(i, i) + 1
             continue
         out.append(i)
@@ -142,10 +157,11 @@ def counted(page: str) -> tuple[Counter, Counter] | None:
 def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample_rows: int = 2000) -> dict[str, float]:
     """Weight of each token class, from pages that mark their article.
 
-    The sample is at most ``sample_rows`` pages, taken by hash of their id.  Words
-    weigh at least 0.05 and tags at most -0.05.
+    The sample is at most ``sample_rows`` of those pages, taken by hash of their
+    id.  Words weigh at least 0.05 and tags at most -0.05.
     """
-    ids = pages.select(F.col(id_col).alias("page_id")).where("page_id is not null").orderBy(F.xxhash64("page_id")).limit(sample_rows)
+    marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)\b") & F.col(id_col).isNotNull())
+    ids = marked.select(F.col(id_col).alias("page_id")).orderBy(F.xxhash64("page_id")).limit(sample_rows)
     sample = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).join(F.broadcast(ids.distinct()), "page_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +178,7 @@ def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
 
     sums = sample.select("html").mapInArrow(run, "name string, within long, outside long").groupBy("name").agg(F.sum("within").alias("a"), F.sum("outside").alias("b"))
     out = {}
-    for row in sums.orderBy(F.desc(F.col("a") + F.col("b")), "name").limit(1000).collect():
+    for row in sums.collect():
         odds = math.log((row["a"] + 1) / (row["b"] + 1))
         out[row["name"]] = min(max(odds, LEAST), MOST) if row["name"].startswith("w ") else max(min(odds, -LEAST), -MOST)
     return out
