@@ -39,7 +39,13 @@ def fold(doc_id: str | Column) -> Column:
 
 
 def tokens(text: str) -> list[str]:
-    return FIND.findall(text.lower())
+    """The words of a text, lower case.
+
+    Where a letter's lower case is longer, words are found first, so that there
+    are as many as :func:`spans` finds.
+    """
+    low = text.lower()
+    return FIND.findall(low) if len(low) == len(text) else [w.lower() for w in FIND.findall(text)]
 
 
 def features(word: str) -> list[int]:
@@ -179,12 +185,12 @@ def fit_score(hazard: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def telling_words(labelled: DataFrame, least_z: float = 2.6, most: int = 5000) -> tuple[set[str], set[str]]:
+def telling_words(labelled: DataFrame, least_z: float = 2.6) -> tuple[set[str], set[str]]:
     """Words and word beginnings that speak for toxic documents.
 
     Counts run over all given rows.  A word counts once per toxic document, but no
     oftener than it is followed by different words there, so that copies of one
-    document add nothing.  ``most`` bounds what reaches the driver.
+    document add nothing.
     """
     words = labelled.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("ws"))
     sizes = words.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
@@ -203,7 +209,7 @@ def telling_words(labelled: DataFrame, least_z: float = 2.6, most: int = 5000) -
         odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
         z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
         best = table.withColumn("z", z).where((F.col("z") >= least_z) & (odds >= 2.0) & (F.col("t") >= 4))
-        return {r["w"] for r in best.orderBy(F.desc("z"), "w").limit(most).collect()}
+        return {r["w"] for r in best.select("w").collect()}
 
     starts = F.explode(F.filter(F.array(*(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in PREFIXES)), lambda p: p.isNotNull()))
     several = counts.select(starts.alias("w"), "t", "c", F.col("said").cast("int").alias("kinds"))
@@ -226,19 +232,29 @@ def _first(tagged: DataFrame, most: int) -> DataFrame:
     return near.orderBy("place", "words").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windows: int = 6000, calibration_rows: int = 4000) -> Model:
-    """Fit on the labelled documents of all folds but the held-out one.
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """``doc_id, text, toxic, fold`` of at most ``most`` labelled documents outside the held-out fold.
 
-    Word counts cover all of them.  The field is fitted on at most ``windows``
-    windows of 64 words, half of them with tagged words, from two folds; the step
-    to the score on at most ``calibration_rows`` documents of the third, all
-    taken by hash.  Without both labels the model scores everything low.
+    Ids are chosen by hash among the labels, before any text is read; they are so
+    few that each task gets them all and texts stay where they are.  An id that
+    several documents have counts with the first of their texts.
     """
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold("doc_id")).where("fold <> 2")
+    chosen = F.broadcast(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled = given.join(told, "doc_id").withColumn("fold", fold("doc_id")).where("fold <> 2")
-    labelled = keep(labelled, "labelled")
+    return given.join(chosen, "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windows: int = 6000, labelled_rows: int = 16000) -> Model:
+    """Fit on labelled documents of all folds but the held-out one.
+
+    At most ``labelled_rows`` of them, chosen by hash, teach all there is: telling
+    words; the field, on at most ``windows`` windows of 64 words, half of them with
+    tagged words, from two folds; the step to the score, on the third.  Without
+    both labels the model scores everything low.
+    """
+    labelled = keep(labelled_texts(docs, labels, id_col, text_col, labelled_rows), "labelled")
     words, starts = telling_words(labelled)
     if not words and not starts:
         return Model.untrained()
@@ -259,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     has = F.array_max("tags") == 1
     some = [_first(tagged.where(c), windows // 2).select("words", "tags").toArrow().to_pylist() for c in (has, ~has)]
     model = fit_field([(r["words"], r["tags"]) for rows in some for r in rows]) if some[0] else Model.untrained()
-    held = labelled.where("fold = 3").orderBy(F.xxhash64("doc_id"), "text").limit(calibration_rows)
+    held = labelled.where("fold = 3")
     sample = score(held, model).select("doc_id", "hazard").join(held.select("doc_id", "toxic"), "doc_id").toArrow()
     if len(sample):
         model.bias, model.slope = fit_score(sample["hazard"].to_numpy(), sample["toxic"].to_numpy().astype(float))
