@@ -8,9 +8,11 @@ numpy.  Only words with a failing pair go through the merges one by one.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
+from collections import ChainMap
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
@@ -30,17 +32,39 @@ LATIN, NUMBERS, SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9
 LATIN_WORD = f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[{NUMBERS}]|[^{SPACES}{LATIN}{NUMBERS}]+"
 
 NEVER = np.int64(2**62)
-WORDS_KEPT = 500_000
+#: Encodings a worker keeps at most, twice: those in use, and those before them.
+WORDS_KEPT = 600_000
+#: Letters beyond which a word's merges are done one by one.
+LONG_WORD = 256
 TEXTS_AT_ONCE = 256
 
 
 def _byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
+    # The bytes that stand for themselves, and where the others go.
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Memory(dict):
+    """Encodings met so far.  When it is full, those not asked for since the last time go."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """What is not known; what is known but old becomes new."""
+        if len(self) > WORDS_KEPT:
+            self.older = dict(self)
+            self.clear()
+        fresh = wanted.difference(self)
+        again = fresh.intersection(self.older)
+        self.update((w, self.older[w]) for w in again)
+        return fresh - again
+
+
 class WordBpe:
     """One vocabulary with its merge order, loaded from a tokenizer file."""
 
@@ -84,7 +108,10 @@ class WordBpe:
         self.controls = re.compile("[^ -~\\t-\\r]").search
         self.rare = re.compile("[\u0180-\U0010ffff]").search
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
-        self.words: dict[str, bytes] = dict(self.special)
+        self.between_spaces = re.compile(f"[^{SPACES}]+").findall
+        self.longest = max(map(len, vocab))
+        self.words, self.known = Memory(), Memory()
+        self.rank_of: Callable[[int], int | None] | None = None
 
     # -- verification ---------------------------------------------------------
 
@@ -122,7 +149,7 @@ class WordBpe:
         out, i, n = [], 0, len(word)
         final, begins = self.final, self.begins
         while True:
-            last = final.get(word[i:])
+            last = final.get(word[i:]) if n - i <= self.longest else None
             if last is not None:
                 out.append(last)
                 return out
@@ -174,6 +201,31 @@ class WordBpe:
         ends = 4 * np.cumsum(np.bincount(owner, minlength=len(words)))
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def merge_long(self, word: str) -> bytes:
+        """The same for one long word: due merges wait in a heap, neighbours are linked."""
+        letter = self.letter
+        token = [letter[x] for x in (*word[:-1], word[-1] + WORD_END)]
+        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
+        ranks = self.pair_rank(np.array(token[:-1], np.int64), np.array(token[1:], np.int64))
+        heap = [(r, i) for i, r in enumerate(ranks.tolist()) if r < NEVER]
+        heapq.heapify(heap)
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist())).get
+        rank_of, size, made = self.rank_of, len(self.pieces), self.made.tolist()
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i] if token[i] >= 0 else len(token)
+            if j >= len(token) or rank_of(token[i] * size + token[j]) != rank:
+                continue  # one side has merged since
+            token[i], token[j], after[i] = made[rank], -1, after[j]
+            if after[i] < len(token):
+                before[after[i]] = i
+                if (r := rank_of(token[i] * size + token[after[i]])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if before[i] >= 0 and (r := rank_of(token[before[i]] * size + token[i])) is not None:
+                heapq.heappush(heap, (r, before[i]))
+        return np.array([t for t in token if t >= 0], "<u4").tobytes()
+
     def encode_words(self, words: Sequence[str]) -> list[bytes]:
         """Encodings of distinct words, as little-endian 32-bit ids."""
         if not words:
@@ -188,26 +240,46 @@ class WordBpe:
         ids, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
         out = [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
         failing = np.unique(owner[1:][inside][~good[which]]).tolist()
+        for i in failing:
+            if len(words[i]) > LONG_WORD:
+                out[i] = self.merge_long(words[i])
+        failing = [i for i in failing if len(words[i]) <= LONG_WORD]
         if failing:
             for i, exact in zip(failing, self.merge_exactly([words[i] for i in failing])):
                 out[i] = exact
         return out
 
+    def stretches(self, text: str) -> list[str] | None:
+        """What stands between the spaces of a text, in lower case.
+
+        Null for texts with special tokens or letters of rarer scripts, where
+        spaces are not all that matters.  Words lie within stretches, and most
+        stretches have been met before.
+        """
+        if "<|" in text or self.rare(text):
+            return None
+        if text.isascii() and not self.controls(text):
+            return text.lower().split()
+        return self.between_spaces(unicodedata.normalize("NFC", text).lower())
+
+    def within(self, stretch: str) -> list[str]:
+        """The words of a stretch, in the vocabulary's letters."""
+        if stretch.isascii() and stretch.isalpha():
+            return [stretch]
+        return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in self.plain_words(stretch)]
+
     def split(self, text: str) -> list[str]:
-        """The words of a text, in the vocabulary's letters; special tokens stay whole.
+        """The words of any text, in the vocabulary's letters; special tokens stay whole.
 
         Letters of rarer scripts are classed by the library itself, since
         releases of Unicode differ.
         """
-        if text.isascii() and "<|" not in text and not self.controls(text):
-            return self.plain_words(text.lower())
         out: list[str] = []
         for part in self.split_special(text):
             if part in self.special:
                 out.append(part)
             elif part and not self.rare(part):
-                part = unicodedata.normalize("NFC", part).lower()
-                out += [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in self.plain_words(part)]
+                out += self.within(unicodedata.normalize("NFC", part).lower())
             elif part:
                 part = self.library.normalizer.normalize_str(part)
                 out += [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
@@ -219,13 +291,21 @@ class WordBpe:
         """Ids of whole texts, each as little-endian 32-bit numbers."""
         out: list[bytes] = []
         for first in range(0, len(texts), TEXTS_AT_ONCE):
-            split = list(map(self.split, texts[first : first + TEXTS_AT_ONCE]))
-            if len(self.words) > WORDS_KEPT:
-                self.words = dict(self.special)
-            new = list(set(chain.from_iterable(split)).difference(self.words))
-            self.words.update(zip(new, self.encode_words(new)))
-            word = self.words.__getitem__
-            out += [b"".join(map(word, s)) for s in split]
+            some = texts[first : first + TEXTS_AT_ONCE]
+            parts = list(map(self.stretches, some))
+            others = {i: self.split(some[i]) for i, p in enumerate(parts) if p is None}
+            fresh = {s: self.within(s) for s in self.known.missing(set(chain.from_iterable(p for p in parts if p is not None)))}
+            # Words of longer stretches are kept as well, since they come back in others.
+            parted = set(chain(chain.from_iterable(w for w in fresh.values() if len(w) > 1), chain.from_iterable(others.values())))
+            new = self.words.missing(parted) - self.special.keys()
+            alone = {w[0] for w in fresh.values() if len(w) == 1}.difference(self.words)
+            every = list(new | alone)
+            found = dict(zip(every, self.encode_words(every)))
+            self.words.update((w, found[w]) for w in new)
+            word = ChainMap(found, self.words, self.special).__getitem__ if others else None
+            known = self.known
+            known.update((s, found.get(w[0]) or self.words[w[0]] if len(w) == 1 else b"".join(map(self.words.__getitem__, w))) for s, w in fresh.items())
+            out += [b"".join(map(word, others[i]) if p is None else map(known.__getitem__, p)) for i, p in enumerate(parts)]
         return out
 
     def decode(self, ids: bytes) -> str:

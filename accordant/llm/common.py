@@ -12,17 +12,42 @@ from pyspark.sql import functions as F
 from accordant.session import scratch_path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+#: Tables kept by steps that are still going on, innermost last.
+_passing: list[list[str]] = []
+
+
+def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Lineage ends at files that outlive any executor, and the work before them is
-    done once however often the table is read.
+    done once however often the table is read.  Tables of texts are smaller with
+    the ``codec`` zstd.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
+    if _passing:
+        _passing[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Keep what a step makes, and take away the tables it kept on the way there."""
+    _passing.append([])
+    try:
+        made = make()
+        path = scratch_path(spark, name)
+        made.write.parquet(path)
+    finally:
+        passed = _passing.pop()
+    files = spark._jvm.org.apache.hadoop.fs
+    for old in passed:
+        place = files.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if _passing:
+        _passing[-1].append(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

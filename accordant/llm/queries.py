@@ -109,6 +109,28 @@ def op7_near_docs(spark: SparkSession, sf: str) -> DataFrame:
     return near_docs.near_docs(table(spark, sf, "documents"))
 
 
+ORACLE["op7_near_docs"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, max(a.n) AS na, max(b.n) AS nb, count(*) AS k FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT a, b FROM c WHERE 100 * k >= 75 * (na + nb - k)
+), r(a, b) AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), m AS (
+  SELECT a, least(a, min(b)) AS root FROM r GROUP BY a
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, s.doc_id = coalesce(m.root, s.doc_id) AS kept
+FROM s LEFT JOIN m ON m.a = s.doc_id
+"""
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity of every document, learnt outside the held-out fold."""

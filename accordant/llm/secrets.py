@@ -164,12 +164,14 @@ def cut_out(text: Column, cuts: Column, mark: str) -> Column:
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", **options) -> DataFrame:
     """The table with every live secret's span replaced by a mark; all rows and columns stay.
 
-    Copied examples stay as they are.  Rows that repeat an id are cut at the
-    spans of the first of them by text.  Null texts stay null.
+    Copied examples stay as they are.  Every row is cut at its own spans, whatever
+    its id, so ``id_col`` is not looked at.  Null texts stay null.
     """
-    found = scan(docs, id_col=id_col, text_col=text_col, **options)
+    # Rows are told apart by a number of their own, written down with them.
+    numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = scan(numbered, id_col="__row", text_col=text_col, **options)
     cuts = F.transform(F.filter("findings", lambda f: f["live"]), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
-    cuts = found.select(F.col("doc_id").alias("__id"), cuts.alias("__cuts")).where(F.size("__cuts") > 0).groupBy("__id").agg(F.min("__cuts").alias("__cuts"))
-    joined = docs.join(cuts, F.col(id_col).cast("long") == F.col("__id"), "left")
+    cuts = found.select(F.col("doc_id").alias("__row"), cuts.alias("__cuts")).where(F.size("__cuts") > 0)
+    joined = numbered.join(cuts, "__row", "left")
     clean = F.when(F.col("__cuts").isNotNull(), cut_out(F.col(text_col), F.col("__cuts"), mark)).otherwise(F.col(text_col))
     return joined.select(*(clean.alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -45,9 +45,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; rows without an id stay."""
-    gone = near_docs.near_docs(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, equal rows included, whatever their ids."""
+    # Rows are told apart by a number of their own, written down with them.
+    numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    gone = near_docs.near_docs(numbered, id_col="__row").where("not kept").select(F.col("doc_id").alias("__row"))
+    return numbered.join(gone.hint("merge"), "__row", "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -97,8 +99,12 @@ def test_miss_probability():
 # --- lines ---------------------------------------------------------------------------
 
 
+_W, _U = " \t\n\x0b\f\r", "฀-໿぀-ヿ㐀-鿿가-힯"
+BEGINS = re.compile(rf"(?s)(?=([^{_W}].{{7}}))(?:[{_U}]|(?<=[^{_W}]{{24}})[^{_W}]|[^{_W}{_U}]{{1,24}}+)")
+
+
 def shingles(line):
-    return {line[i : i + 8] for i in range(len(line) - 7)}
+    return set(BEGINS.findall(line))
 
 
 def lines_truth(texts):
@@ -135,6 +141,53 @@ def check_lines(before, got):
     assert kept == dict.fromkeys(root.values(), 1)
 
 
+def test_short_unspaced_and_odd_lines(spark):
+    han = "机器学习模型需要大量干净的文本数据才能学到有用的东西并且回答问题"
+    texts = ["=" * 20 + "\n" + "=" * 60, han, han[1:], "one two three four five six seven\none two three four five six seven eight nine ten", "same line, other document", None, "x" * 30000]
+    texts += ["same line, other document\n" + "y" * 30000, "\t\t\t" * 9 + "\n" + "\t\t\t" * 9]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[4]), (3, texts[3]), (4, "a different text under an id that is taken")]
+    docs = spark.createDataFrame([(*r, "theirs") for r in rows], "doc_id long, text string, n_lines string").coalesce(1)
+    out = [(r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()]
+    assert len(out) == len(rows) and sum(t is None for t, _ in out) == 1
+    left = [line for t, _ in out for line in (t or "").split("\n")]
+    assert sum(set(line) == {"="} for line in left) == 1 and sum(line in (han, han[1:]) for line in left) == 1
+    assert left.count("same line, other document") == 1 and sum(line.startswith("\t") for line in left) == 1
+    assert "a different text under an id that is taken" in left and sum(line.startswith("one two") for line in left) == 2  # too unlike
+
+
+def test_recall_of_linked_lines():
+    """Of linked pairs, the share that a band proposes and the signature lets pass."""
+    rng = random.Random(11)
+    base = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(4, 60))) for _ in range(1500)]
+    hashed, linked, met = {}, 0, 0
+
+    def signed(line):
+        if line not in hashed:
+            xs = np.array([zlib.crc32(s.encode()) for s in shingles(line)], np.int64)
+            hashed[line] = np.array([(xs ^ p).min() for p in line_dedup.POINTS[:21]])
+        return hashed[line]
+
+    for line in base:
+        words = line.split()
+        for _ in range(2):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+            other = " ".join(words)
+            a, b = shingles(line), shingles(other)
+            if len(other) >= 16 <= len(line) and other != line and 100 * len(a & b) >= 80 * len(a | b):
+                same = (signed(line) == signed(other)).reshape(7, 3)
+                linked += 1
+                met += bool(same.all(axis=1).any())
+    assert linked > 500 and met / linked >= 0.99
+
+
+def test_line_query_against_brute_force(spark):
+    import __spark_entry__ as contract
+
+    sf = "/root/testdata/sf0.001"
+    before = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    check_lines(before, [tuple(r) for r in contract.queries()["op6_line_dedup"](spark, sf).select("doc_id", "text", "n_lines", "n_removed").collect()])
+
+
 def test_lines(spark):
     rng = random.Random(2)
     base = " ".join(rng.choice(WORDS) for _ in range(40))
@@ -236,6 +289,29 @@ def test_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+WRAPPERS = ["site no-sidebar", "layout with-sidebar", "content-footer", "search-results", "ad-free", "social-science", "page has-banner"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_wrappers_are_not_hidden(name):
+    body = "<p>" + " ".join(WORDS[:40]) + "</p>"
+    menu, notes = '<div class="menu"><a href=x>one</a> <a href=y>two</a></div>', f'<div class="comments"><p>{" ".join(WORDS[:30])}</p></div>'
+    for inside in (f"<article>{body}</article>", body):
+        for attribute in ("class", "id"):
+            page = f'<html><body>{menu}<div {attribute}="{name}">{inside}</div></body></html>'
+            assert html_text.main_text(page, {}) == " ".join(WORDS[:40]), page
+    page = f'<html><body>{menu}<div class="{name}"><article>{body}</article>{notes}</div></body></html>'
+    assert html_text.main_text(page, {}) == " ".join(WORDS[:40])
+    assert html_text.main_text(f"<form><main>{body}</main></form>", {}) == " ".join(WORDS[:40])
+
+
+@pytest.mark.parametrize("junk", ["<a ", "<a href=\"", "<script ", "<! ", "<div class='x ", "<p>", "</div>", "<!--", "&"])
+def test_a_million_characters_of_open_tags(junk):
+    start = time.perf_counter()
+    text = html_text.main_text("<p>first words of a page</p>" + junk * (1_000_000 // len(junk)), {})
+    assert time.perf_counter() - start < 20 and isinstance(text, str)
+
+
 def test_pages_query(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in contract.queries()["op4_html_text"](spark, SF).collect():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -40,6 +41,16 @@ def test_words_equal_library(library):
         assert np.frombuffer(got, "<u4").tolist() == ids_of(library, text), text
 
 
+def test_long_words_equal_library(library):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeiotnshr") for _ in range(n)) for n in (300, 2000, 30000)] + ["ab" * 4000, "z" * 5000, "é" * 3000]
+    for text, got in zip(words, bpe.WordBpe(PATH).encode(words)):
+        assert np.frombuffer(got, "<u4").tolist() == ids_of(library, text)
+    start = time.perf_counter()
+    bpe.WordBpe(PATH).encode(["".join(rng.choice("aeiotnshr") for _ in range(1_000_000))])
+    assert time.perf_counter() - start < 60
+
+
 def test_proposals_are_verified():
     coder = bpe.WordBpe(PATH)
     words = ["".join(w) for w in zip(*[random.Random(i).choices("aeiotnshr", k=400) for i in range(9)])]
@@ -165,3 +176,58 @@ def test_equal_lengths_are_cut(monkeypatch):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     totals = check_packing([dict(zip(names, p)) for p in packer.pieces], {i: 75 for i in range(50)}, 100)
     assert sum(totals) == 3750 and totals.count(100) == 37
+
+
+# --- registered queries against the library ------------------------------------------
+
+
+def library_ids(spark, library, sf):
+    return {r["doc_id"]: [*ids_of(library, r["text"]), 1] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_packing_query(spark, library, size):
+    import __spark_entry__ as contract
+
+    sf = f"/root/testdata/{size}"
+    every = library_ids(spark, library, sf)
+    rows = contract.queries()["op5_packing"](spark, sf).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        assert r["doc_tokens"] == len(every[r["doc_id"]])
+        assert r["ids_crc32"] == crc(every[r["doc_id"]][r["start"] : r["start"] + r["length"]])
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert by_doc.keys() == every.keys()
+    for pieces, total in ((p, len(every[i])) for i, p in by_doc.items()):
+        at = 0
+        for start, length in sorted(pieces):
+            assert start == at and length > 0
+            at += length
+        assert at == total
+    padding = 0
+    for pieces in by_sequence.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    assert padding == 0
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_token_file_query(spark, library, size):
+    import __spark_entry__ as contract
+
+    sf = f"/root/testdata/{size}"
+    every = library_ids(spark, library, sf)
+    want, at = set(), 0
+    for doc_id in sorted(every):
+        want.add((doc_id, at, len(every[doc_id]), crc(every[doc_id])))
+        at += len(every[doc_id])
+    assert {(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in contract.queries()["op9_token_files"](spark, sf).collect()} == want
