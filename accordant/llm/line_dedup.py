@@ -2,9 +2,11 @@
 
 Everything here is DataFrame and SQL functions.  Lines with the same normal form
 are one node.  A line's shingles are hashed once, as rows, and one aggregate over
-those rows gives its signature; bands of it propose pairs of nodes; sizes and
-signatures drop most of them; and the Jaccard similarity of the whole sets, the
-very ones that were signed, decides.  The first line of each component stays.
+those rows gives its signature; bands of it propose pairs of nodes; signatures
+drop most of them; and the Jaccard similarity of the whole sets, the very ones
+that were signed, decides.  Nodes of a crowded band that are still apart are
+joined by the rarest shingles of their sets instead of pair by pair.  The first
+line of each component stays.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from accordant.llm.common import keep, keep_alone
 NO_ID = -(2**63)
 #: Fixed points on the hash circle; the hash nearest to one (by XOR) is a set's minimum there.
 POINTS = [(i * 0x9E3779B1 + 0x632BE59B) % 2**31 for i in range(1, 65)]
-#: Letters of scripts that put no spaces between words: Thai, Lao, kana, Han, Hangul.
-UNSPACED = r"\u0E00-\u0EFF\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"
+
+#: Up to so many nodes of a band are compared pair by pair.
+FEW = 16
 
 
 def normal(line: Column) -> Column:
@@ -30,14 +33,31 @@ def normal(line: Column) -> Column:
 
 
 def shingles(line: Column, width: int) -> Column:
-    """The shingles of a line: ``width`` characters from wherever a word begins.
+    """The shingles of a line: ``width`` characters from every place that has as many after it."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
+
+
+def close_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of ``nodes`` (``rep, root, s``) that may be similar and have different roots.
 
-    Words begin after white space, at and after any letter of an unspaced script,
-    and at any place deep in an unbroken run.  Each match takes in its whole word,
-    so the places inside of words are not tried.
+    Each set is put in one order, its rarest shingles first.  Sets of m and n
+    shingles at the threshold have at least ``percent * (m + n) / (100 + percent)``
+    in common, so the first common one stands early in both; the pairs that meet
+    there are all that need a check.
     """
-    word = rf"(?:[{UNSPACED}]|(?<=\S{{24}})\S|[^\s{UNSPACED}]{{1,24}}+)"
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{{width - 1}}})){word}"), F.lit(1))
+    rows = nodes.select("rep", "root", F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = rows.groupBy("x").agg(F.count("*").alias("f"), F.min("root").alias("low"), F.max("root").alias("high"))
+    often = often.where("f > 1").select("x", "f", (F.col("low") < F.col("high")).alias("mixed"))
+    ordered = rows.join(often.hint("merge"), "x", "left").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("f", F.lit(1)), "x")))
+    early = keep(ordered.where("mixed").where(f"100 * (n - i + 1) >= {percent} * n").select("x", "rep", "root", "n", "i"), "early")
+    # The smaller set has the smaller share of it to look at.
+    one = early.where(f"{100 + percent} * (n - i + 1) >= {2 * percent} * n").select("x", *(F.col(c).alias(f"{c}1") for c in ("rep", "root", "n", "i")))
+    two = early.select("x", *(F.col(c).alias(f"{c}2") for c in ("rep", "root", "n", "i")))
+    needed = f"{percent} * (n1 + n2)"
+    met = one.join(two.hint("merge"), "x").where(
+        f"root1 <> root2 AND (n1 < n2 OR n1 = n2 AND rep1 < rep2) AND {100 + percent} * (n1 - i1 + 1) >= {needed} AND {100 + percent} * (n2 - i2 + 1) >= {needed}"
+    )
+    return met.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
 def _binomial(n: int, k: int, p: float) -> float:
@@ -93,23 +113,34 @@ def dedup_lines(
         # A written table has a known size, by which Spark decides how to join it.
         wanted = keep(members.select(F.col("rep").alias("h")).distinct(), "wanted")
         found = texts.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-        sets = found.select("h", F.array_distinct(F.transform(shingles(F.col("line"), width), lambda s: F.xxhash64(s))).alias("s"))
-        sets = keep(sets.join(signed.hint("merge"), "h").select("h", F.size("s").alias("n"), "sig", "s"), "sets")
+        nodes = keep(found.join(signed.hint("merge"), "h").select("h", "sig", "line"), "nodes", "zstd")
         # Of pairs at the threshold, fewer than one in 10,000 agree in so few places.
         least = next(k for k in range(size, -1, -1) if sum(_binomial(size, j, percent / 100) for j in range(k)) < 1e-4)
 
+        def whole(name: str) -> Column:
+            return F.array_distinct(F.transform(shingles(F.col(name), width), lambda s: F.xxhash64(s)))
+
         def verified(pairs: DataFrame) -> DataFrame:
-            def side(name: str, *columns: str) -> DataFrame:
-                return sets.select(F.col("h").alias(name), *(F.col(c).alias(f"{c}{name}") for c in columns)).hint("merge")
+            def side(name: str, column: str) -> DataFrame:
+                return nodes.select(F.col("h").alias(name), F.col(column).alias(f"{column}{name}")).hint("merge")
 
-            near = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b")
+            near = pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b")
             agree = F.size(F.filter(F.zip_with("siga", "sigb", lambda x, y: x == y), lambda same: same))
-            near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (agree >= least)).select("a", "b")
-            both = near.join(side("a", "s"), "a").join(side("b", "s"), "b")
-            both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-            return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
-
-        return cluster(members, verified)
+            near = keep(near.where(agree >= least).select("a", "b"), "near")
+            both = near.join(side("a", "line"), "a").join(side("b", "line"), "b")
+            # An array of one, so that both sets are cut once however often they are read.
+            sets = F.array(F.struct(whole("linea").alias("a"), whole("lineb").alias("b")))
+            return both.where(F.exists(sets, lambda p: F.size(F.array_intersect(p["a"], p["b"])) * (100 + percent) >= (F.size(p["a"]) + F.size(p["b"])) * percent)).select("a", "b")
+
+        def compared(apart: DataFrame) -> DataFrame:
+            few = apart.where(F.col("n") <= FEW)
+            one, two = (few.select("key", F.col("rep").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
+            pairs = one.join(two.hint("merge"), "key").where("ra <> rb AND a < b").select("a", "b")
+            crowd = apart.where(F.col("n") > FEW).select("rep", "root").distinct()
+            cut = nodes.join(crowd.hint("merge"), F.col("h") == F.col("rep")).select("rep", "root", whole("line").alias("s"))
+            return verified(keep(pairs.union(close_pairs(cut, percent)).distinct(), "met"))
+
+        return cluster(members, verified, rounds=1, compare=compared)
 
     roots = keep_alone(docs.sparkSession, "roots", grouped).withColumnRenamed("id", "h")
     rooted = classes.select("h", "first", "n").join(roots.hint("merge"), "h", "left").where("n > 1 or root is not null").select("h", "first", F.coalesce("root", "h").alias("root"))

@@ -99,8 +99,7 @@ def test_miss_probability():
 # --- lines ---------------------------------------------------------------------------
 
 
-_W, _U = " \t\n\x0b\f\r", "฀-໿぀-ヿ㐀-鿿가-힯"
-BEGINS = re.compile(rf"(?s)(?=([^{_W}].{{7}}))(?:[{_U}]|(?<=[^{_W}]{{24}})[^{_W}]|[^{_W}{_U}]{{1,24}}+)")
+BEGINS = re.compile(r"(?s)(?=(.{8}))")
 
 
 def shingles(line):
@@ -155,6 +154,36 @@ def test_short_unspaced_and_odd_lines(spark):
     assert "a different text under an id that is taken" in left and sum(line.startswith("one two") for line in left) == 2  # too unlike
 
 
+def test_lines_that_differ_inside_long_words(spark):
+    """Every place of a line counts, not only the first characters of its words."""
+    lines = ["transaction_0001_ab acknowledged_by_a", "transaction_7394_zy acknowledged_at_z", "one ordinary line of some length that is here twice", "one ordinary line of some length that is here twice."]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(1)
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert out == {0: 0, 1: 0, 2: 0, 3: 1}
+
+
+def test_close_pairs_of_a_crowd(spark):
+    """No pair at the threshold is left out, and a crowd that shares one passage is not paired off."""
+    rng = random.Random(5)
+    sets = [{*range(60), *(rng.randrange(10**9) for _ in range(40))} for _ in range(300)]
+    sets += [set(rng.sample(sorted(s), 100 - k)) | {rng.randrange(10**9) for _ in range(j)} for s in sets[:30] for k, j in ((0, 0), (5, 6), (10, 12), (20, 0))]
+    rows = spark.createDataFrame([(i, i, sorted(s)) for i, s in enumerate(sets)], "rep long, root long, s array<long>")
+    got = {(r["a"], r["b"]) for r in line_dedup.close_pairs(rows, 80).collect()}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(want) > 60 and want <= got and len(got) < 4 * len(want)
+
+
+def test_crowded_lines_against_brute_force(spark):
+    """Lines that share a passage, and near copies of one line, in crowded bands."""
+    rng = random.Random(9)
+    passage = " ".join(rng.choice(WORDS) for _ in range(30))
+    lines = [f"{passage} {' '.join(rng.choice(WORDS) for _ in range(rng.randint(3, 14)))}" for _ in range(120)]
+    lines += [edited(rng, passage.split(), rng.randint(1, 3)) for _ in range(60)]
+    texts = dict(enumerate(lines))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    check_lines(texts, [tuple(r) for r in line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed").collect()])
+
+
 def test_recall_of_linked_lines():
     """Of linked pairs, the share that a band proposes and the signature lets pass."""
     rng = random.Random(11)
