@@ -84,7 +84,7 @@ def _centred(margins: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
     else:
         scored = margins.select(*keys, "value", "n", F.col("value").cast("double").alias("s"))
     means = scored.groupBy(*keys).agg((F.sum(F.col("n") * F.col("s")) / F.sum("n")).alias("mean"))
-    return match(scored, means, keys).select(*keys, "value", "n", (F.col("s") - F.col("mean")).alias("s"))
+    return match(scored, means, keys, "left").select(*keys, "value", "n", (F.col("s") - F.col("mean")).alias("s"))
 
 
 def alpha_long(ratings: DataFrame, level: str = "ordinal", keys: Sequence[str] = ()) -> DataFrame:
@@ -115,7 +115,9 @@ def alpha_long(ratings: DataFrame, level: str = "ordinal", keys: Sequence[str] =
     else:
         scores = settle(_centred(margins, group, level))
         s, weight = F.col("s"), F.col("n")
-        scored = match(shared, scores.drop("n"), [*group, "value"])
+        # Every value has its score.  A left join, of which Spark never broadcasts the
+        # counts: it takes them for as small as the file that they were unfolded from.
+        scored = match(shared, scores.drop("n"), [*group, "value"], "left")
         items = scored.groupBy(*group, "item", "m").agg(F.sum(n * s).alias("sum"), F.sum(n * s * s).alias("squares"))
         gap = 2.0 * (m * F.col("squares") - F.col("sum") * F.col("sum")) / (m - 1)
         observed = items.groupBy(*group).agg(F.sum(gap).alias("observed"))
@@ -184,16 +186,17 @@ def wins_long(ratings: DataFrame, guesses: DataFrame, keys: Sequence[str]) -> Da
     model = F.coalesce("hits", F.lit(0)) - F.when(F.col("value") == F.col("guess"), 1).otherwise(0)
     human = F.col("n") - 1
     labels = scored.select(*group, "item", "value", (model >= human).cast("bigint").alias("w_f"), (human >= model).cast("bigint").alias("w_h"))
-    won = match(rows, labels, [*group, "item", "value"])
+    # A left join for the same reason as in alpha_long; rows of items with too few ratings count nowhere.
+    won = match(rows, labels, [*group, "item", "value"], "left")
     d = F.col("w_h") - F.col("w_f")
     return won.groupBy(*group, "rater").agg(
-        F.count("*").alias("n"),
+        F.count("w_f").alias("n"),
         F.sum("w_f").alias("wins_f"),
         F.sum("w_h").alias("wins_h"),
         F.sum(d).alias("sum_d"),
         F.sum(d * d).alias("sum_d2"),
         F.lit(0).cast("bigint").alias("skipped"),
-    )
+    ).where("n > 0")
 
 
 def alt_long(ratings: DataFrame, guesses: DataFrame, keys: Sequence[str], epsilon: float = 0.2, alpha: float = 0.05) -> DataFrame:

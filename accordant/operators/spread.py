@@ -26,7 +26,8 @@ def running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], val
     sums = spread.groupBy(*here).agg(*[F.sum(v).alias(f"_{v}") for v in values])
     offsets = sums.select(*here, *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}_before") for v in values])
     summed = spread.withColumns({f"{v}_upto": F.sum(v).over(inside) for v in values})
-    joined = match(summed, offsets, here)
+    # Every stretch has its offset.  Spark takes kept rows for smaller than they are; of a left join it never broadcasts them.
+    joined = match(summed, offsets, here, "left")
     return joined.withColumns({f"{v}_upto": F.col(f"{v}_upto") + F.col(f"_{v}_before") for v in values}).drop("_stretch", *[f"_{v}_before" for v in values])
 
 
@@ -43,7 +44,7 @@ def blocks(rows: DataFrame, keys: Sequence[str], spot: Column, entry: Column, si
     ``spot`` decides where a row goes; it must differ among the rows of a group.
     """
     n_rows = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(float(size))).cast("int").alias("n_blocks"))
-    dealt = match(rows, n_rows, keys).withColumn("block", F.pmod(F.xxhash64(spot), F.col("n_blocks")).cast("int"))
+    dealt = match(rows, n_rows, keys, "left").withColumn("block", F.pmod(F.xxhash64(spot), F.col("n_blocks")).cast("int"))
     return dealt.groupBy(*keys, "block", "n_blocks").agg(F.collect_list(entry).alias("entries"))
 
 

@@ -320,6 +320,24 @@ def test_alpha_long_equals_wide(spark, level):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
 
 
+def test_kept_counts_are_not_broadcast(spark):
+    """Unfolded rows look as small as the file they came from; no join may send them to the driver."""
+    base = spark.range(2000).selectExpr("id % 2 AS g", "id AS item", "id")
+    rows = base.select("g", "item", F.explode(F.array(*[F.lit(c) for c in "abcd"])).alias("rater"), (F.col("id") * 7 % 5).alias("value"))
+    plans = [long_form.alpha_long(rows, level, ["g"]) for level in ("ordinal", "interval")]
+    plans.append(long_form.wins_long(rows, rows.where("rater = 'a'").select("g", "item", "value"), ["g"]))
+    for made in plans:
+        assert "BuildLeft" not in made._jdf.queryExecution().toString()
+
+
+def test_wins_long_leaves_out_raters_of_small_items(spark):
+    rows = [("x", "r1", 1), ("x", "r2", 1), ("x", "r3", 0), ("y", "r4", 1), ("y", "r1", 1)]
+    ratings = spark.createDataFrame([(0, *r) for r in rows], "g int, item string, rater string, value int")
+    guesses = spark.createDataFrame([(0, "x", 1), (0, "y", 1)], "g int, item string, value int")
+    out = {r["rater"]: r["n"] for r in long_form.wins_long(ratings, guesses, ["g"]).collect()}
+    assert out == {"r1": 1, "r2": 1, "r3": 1}
+
+
 def test_alpha_long_without_enough(spark):
     shape = "g int, item int, rater string, value double"
     rows = [(1, 1, "a", 2.0), (1, 1, "b", 2.0), (1, 2, "a", 2.0), (1, 2, "b", 2.0)]  # one value
