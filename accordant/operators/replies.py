@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -281,6 +282,10 @@ REPLY_COLUMNS = (
 )
 
 
+#: Prompts answered before their replies leave the task.
+CALLS_AT_ONCE = 256
+
+
 def annotate_batch(
     df: DataFrame,
     annotator: Annotator,
@@ -302,24 +307,25 @@ def annotate_batch(
         work = work.repartition(partitions)
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for batch in batches:
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        # A few prompts at a time, and what is only carried stays as it came: a task
+        # holds the batch it was given and the replies of one slice.
+        for batch in (whole.slice(at, CALLS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, CALLS_AT_ONCE)):
             replies = []
-            for text in batch[prompt]:
+            for text in batch.column(batch.schema.names.index(prompt)):
                 try:
-                    reply, usage = annotator(text)
+                    reply, usage = annotator(text.as_py())
                     used = usage or (None, None)
                     replies.append((reply, used[0], used[1], None))
                 except Exception as problem:  # one bad call must not fail the job
                     replies.append((None, 0, 0, str(problem)))
-            frame = pd.DataFrame(
-                replies,
-                columns=["response_text", "prompt_tokens", "completion_tokens", "error"],
-                index=batch.index,
-            ).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
-            yield pd.concat([batch, frame], axis=1)
-
-    out = work.mapInPandas(call, f"{carried}, {REPLY_COLUMNS}")
+            names = ["response_text", "prompt_tokens", "completion_tokens", "error"]
+            frame = pd.DataFrame(replies, columns=names).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string())
+            read = [pa.Array.from_pandas(frame[n], type=t) for n, t in zip(names, types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *read], names=[*batch.schema.names, *names])
+
+    out = work.mapInArrow(call, f"{carried}, {REPLY_COLUMNS}")
     return settle(out) if durable else out
 
 

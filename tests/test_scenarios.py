@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import pytest
 
+import pyarrow as pa
+
+from accordant.operators import replies
 from accordant.operators.scenarios import Scenario, improve_prompt, run_scenarios
 
 
@@ -131,3 +134,26 @@ def test_iterations_need_a_rewriter(spark):
 def test_json_needs_fields():
     with pytest.raises(ValueError, match="selected field"):
         Scenario("p", "x", json_output=True)
+
+
+def test_replies_leave_in_slices(spark, monkeypatch):
+    """A task holds the replies of a few prompts, however many rows a batch has, and changes nothing it carries."""
+    held, asked = [], []
+    kind = type(spark.range(0))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, *a, **b: held.append(f) or plain(self, f, schema, *a, **b))
+    big = 2**53 + 1
+    rows = spark.createDataFrame([(big, "p"), (None, "q"), (1, None)], "k long, prompt string")
+
+    def annotator(text):
+        if text == "q":
+            raise ValueError("no")
+        return f"re {text}", None if text is None else (len(text), 1)
+
+    got = {tuple(r) for r in replies.annotate_batch(rows, annotator).collect()}
+    assert got == {(big, "p", 1, "re p", 1, 1, None), (None, "q", 1, None, 0, 0, "no"), (1, None, 1, "re None", None, None, None)}
+    replies.annotate_batch(rows.select("prompt"), lambda text: (asked.append(text) or text, (1, 1)))
+    batch = pa.RecordBatch.from_pydict({"prompt": [str(i) for i in range(1000)], "completion_no": [1] * 1000})
+    out = held[-1](iter([batch]))
+    assert next(out).num_rows == len(asked) == replies.CALLS_AT_ONCE
+    assert sum(b.num_rows for b in out) == 1000 - replies.CALLS_AT_ONCE
