@@ -27,7 +27,7 @@ from accordant.llm import bpe
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Remainders that wait in a task before windows are filled: at most this many times the capacity in ids.
 WAITING = 4096
-DOCS_AT_ONCE = 256
+DOCS_AT_ONCE = 1024
 ROWS_AT_ONCE = 4096
 
 
@@ -175,8 +175,7 @@ def pack(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(at, DOCS_AT_ONCE)
-                texts = [t or "" for t in part["text"].to_pylist()]
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), coder.encode(texts)):
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), coder.encode(part["text"])):
                     packer.add(doc_id, ids + end)
                 yield from packer.drain(ROWS_AT_ONCE)
         packer.finish()

@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -51,6 +52,24 @@ def test_long_words_equal_library(library):
     assert time.perf_counter() - start < 60
 
 
+def test_words_beside_each_other_equal_library(library):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aeRstvemldD'''  !.,09éÉİ²½ \x85\xa0\x1c\n\tſŸŉß<|>") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["don't'", "''s", "'s't'rest", "x'", "'", "l'", "'r", "é'sé'Lé'", None, "<|endoftext|>'s", "a<", "|b"]
+    for text, got in zip(texts, bpe.WordBpe(PATH).encode(pa.array(texts)), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids_of(library, text), text
+
+
+def test_new_words_are_encoded_side_by_side(monkeypatch, library):
+    rng, calls, get = random.Random(4), [], bpe.Lookup.get
+    texts = [" ".join("".join(rng.choices(["th", "er", "on", "an", "re", "he"], k=rng.randint(2, 7))) for _ in range(100)) for _ in range(200)]
+    coder = bpe.WordBpe(PATH)
+    monkeypatch.setattr(bpe.Lookup, "get", lambda self, keys: calls.append(len(keys)) or get(self, keys))
+    found = coder.encode(texts)
+    assert len(calls) < 300  # for some 15,000 different words
+    assert found[0] == np.array(ids_of(library, texts[0]), "<u4").tobytes()
+
+
 def test_proposals_are_verified():
     coder = bpe.WordBpe(PATH)
     words = ["".join(w) for w in zip(*[random.Random(i).choices("aeiotnshr", k=400) for i in range(9)])]
