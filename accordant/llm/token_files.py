@@ -45,6 +45,7 @@ WRITTEN = "file string, first_id long, last_id long, n_docs long, n_tokens long,
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 READ_IDS = "doc_id long, start long, ids binary"
 DOCS_AT_ONCE = 256
+DOCS_ENCODED = 1024
 
 
 class Damaged(ValueError):
@@ -147,9 +148,9 @@ def write(
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
-                for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                    part = batch.slice(at, DOCS_AT_ONCE)
-                    ids = coder.encode([t or "" for t in part["text"].to_pylist()])
+                for at in range(0, batch.num_rows, DOCS_ENCODED):
+                    part = batch.slice(at, DOCS_ENCODED)
+                    ids = coder.encode(part["text"])
                     yield from zip(part["doc_id"].to_pylist(), (i + end for i in ids))
 
         store, place = _open(folder)
