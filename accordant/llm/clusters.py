@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant.llm.common import keep
@@ -18,12 +18,14 @@ def cluster(
     rounds: int = 1,
     leaders: int = 4,
     compare: Callable[[DataFrame], DataFrame] | None = None,
+    first: Column | None = None,
 ) -> DataFrame:
     """Components (``id``, ``root``) of all verified pairs within buckets.
 
     ``members`` has ``key`` and ``rep``, each pair once; ``verified`` keeps the
     linked ones among pairs ``a < b``.  First everyone meets the bucket's
-    smallest node.  Then, in buckets that still hold several components, nodes
+    smallest node, or the one that is smallest by ``first``, a column over
+    ``members`` (of equal ones the smallest node).  Then, in buckets that still hold several components, nodes
     meet some leaders chosen by hash, ``rounds`` times.  What is still apart
     after that is compared in full, so no component is missed; pairs of one
     component need no check.
@@ -32,8 +34,12 @@ def cluster(
     the bucket) and returns enough links ``a, b`` to join what belongs together.
     Without it, pairs are joined and verified.
     """
-    firsts = members.groupBy("key").agg(F.min("rep").alias("lead"))
-    pairs = members.join(firsts.hint("merge"), "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    if first is None:
+        firsts = members.groupBy("key").agg(F.min("rep").alias("lead"))
+    else:
+        firsts = members.groupBy("key").agg(F.min(F.struct(first.alias("place"), "rep"))["rep"].alias("lead"))
+        members = members.select("key", "rep")
+    pairs = members.join(firsts.hint("merge"), "key").where("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
     met = keep(pairs, "met")
     links = keep(verified(met), "linked")
     roots = components(links, "a", "b")

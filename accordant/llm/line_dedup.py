@@ -37,6 +37,29 @@ def shingles(line: Column, width: int) -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
 
 
+def minima(lines: DataFrame, width: int, points: list[int]) -> DataFrame:
+    """For lines ``h, line`` of at least ``width`` characters: ``h``, the count ``n`` of its lines, a minimum ``m0, m1, ...`` for each of ``points``.
+
+    In bytes (ASCII alone) or in UTF-32, all characters are equally wide, so a
+    shingle is cut without reading what stands before it.  A row holds the hashes
+    of eight places, so that a minimum is looked up once for eight.
+    """
+    plain = F.is_valid_utf8("line") & (F.octet_length("line") == F.char_length("line"))
+    coded = lines.select("h", plain.alias("plain"), F.when(plain, F.col("line").cast("binary")).otherwise(F.encode("line", "UTF-32")).alias("b"))
+    coded = coded.withColumn("last", F.when(F.col("plain"), F.octet_length("b")).otherwise(F.octet_length("b") / 4).cast("int") - width).where("last >= 0")
+    places = coded.select("h", "plain", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(8))).alias("at"))
+
+    def hashed(k: int) -> Column:
+        # Past the end the last place is read again, which changes no minimum.
+        at = F.least(F.col("at") + k, "last")
+        wide = F.decode(F.substring("b", at * 4 + 1, F.lit(4 * width)), "UTF-32")
+        return F.when(F.col("plain"), F.hash(F.substring("b", at + 1, F.lit(width)))).otherwise(F.hash(wide)).alias(f"x{k}")
+
+    rows = places.select("h", F.when(F.col("at") == 0, 1).otherwise(0).alias("one"), *(hashed(k) for k in range(8)))
+    least = [F.min(F.least(*(F.col(f"x{k}").bitwiseXOR(F.lit(p)) for k in range(8)))).alias(f"m{i}") for i, p in enumerate(points)]
+    return rows.groupBy("h").agg(F.sum("one").alias("n"), *least)
+
+
 def close_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of ``nodes`` (``rep, root, s``) that may be similar and have different roots.
 
@@ -101,15 +124,14 @@ def dedup_lines(
     texts = lines.select("h", "line")
 
     def grouped() -> DataFrame:
-        hashed = texts.select("h", F.explode(shingles(F.col("line"), width)).alias("s")).select("h", F.hash("s").alias("x"))
-        signed = hashed.groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(p))).alias(f"m{i}") for i, p in enumerate(POINTS[:size])))
-        signed = keep(signed.select("h", F.array(*(f"m{i}" for i in range(size))).alias("sig")), "signed")
+        signed = minima(texts, width, POINTS[:size])
+        signed = keep(signed.select("h", "n", F.array(*(f"m{i}" for i in range(size))).alias("sig")), "signed")
 
         band = F.array(*(F.xxhash64(F.lit(b), *(F.col("sig")[b * rows + r] for r in range(rows))) for b in range(bands)))
-        buckets = signed.select(F.col("h").alias("rep"), F.explode(band).alias("key"))
+        buckets = signed.select(F.col("h").alias("rep"), "n", F.explode(band).alias("key"))
         of_key = Window.partitionBy("key")
-        buckets = buckets.select("rep", "key", F.min("rep").over(of_key).alias("low"), F.max("rep").over(of_key).alias("high"))
-        members = keep(buckets.where("low < high").select("rep", "key"), "members")
+        buckets = buckets.select("rep", "key", "n", F.min("rep").over(of_key).alias("low"), F.max("rep").over(of_key).alias("high"))
+        members = keep(buckets.where("low < high").select("rep", "key", "n"), "members")
         # A written table has a known size, by which Spark decides how to join it.
         wanted = keep(members.select(F.col("rep").alias("h")).distinct(), "wanted")
         found = texts.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
@@ -140,7 +162,8 @@ def dedup_lines(
             cut = nodes.join(crowd.hint("merge"), F.col("h") == F.col("rep")).select("rep", "root", whole("line").alias("s"))
             return verified(keep(pairs.union(close_pairs(cut, percent)).distinct(), "met"))
 
-        return cluster(members, verified, rounds=1, compare=compared)
+        # What stands most often is likely what others of its bucket were made from, and so the nearest to most of them.
+        return cluster(members, verified, rounds=1, compare=compared, first=-F.col("n"))
 
     roots = keep_alone(docs.sparkSession, "roots", grouped).withColumnRenamed("id", "h")
     rooted = classes.select("h", "first", "n").join(roots.hint("merge"), "h", "left").where("n > 1 or root is not null").select("h", "first", F.coalesce("root", "h").alias("root"))

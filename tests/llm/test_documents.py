@@ -184,6 +184,34 @@ def test_crowded_lines_against_brute_force(spark):
     check_lines(texts, [tuple(r) for r in line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed").collect()])
 
 
+def test_crowd_round_its_commonest_line(spark, monkeypatch):
+    """Variants too unlike each other, but like the line they were made from, are not compared with each other."""
+    rng = random.Random(3)
+    words = [f"{rng.choice(WORDS)}{i}" for i in range(60)]
+    base, lines = " ".join(words), []
+    for i in range(50):
+        at = rng.sample(range(60), 2)
+        lines.append(" ".join(f"qqqq{i}z{j}" if j in at else w for j, w in enumerate(words)))
+    assert all(100 * len(shingles(a) & shingles(base)) >= 80 * len(shingles(a) | shingles(base)) for a in lines)
+    assert sum(100 * len(shingles(a) & shingles(b)) < 80 * len(shingles(a) | shingles(b)) for a in lines for b in lines) > 1000
+    texts = dict(enumerate([*lines, base, base, base]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    crowd, plain = [], line_dedup.close_pairs
+    monkeypatch.setattr(line_dedup, "close_pairs", lambda nodes, percent: (crowd.append(nodes.count()), plain(nodes, percent))[1])
+    check_lines(texts, [tuple(r) for r in line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed").collect()])
+    assert crowd == [0]
+
+
+def test_minima_of_whole_lines(spark):
+    """Every place of a line is read, the last ones as well, whatever the width of its characters."""
+    text = "äé😀机器学习 one two, drei; vier ... 😀😀 twenty-three and some more"
+    lines = spark.createDataFrame([(n, text[:n]) for n in range(6, len(text) + 1)] + [(8, text[:8])] + [(100 + n, text[-n:]) for n in range(6, 30)], "h long, line string")
+    got = {r["h"]: (r["n"], r["m0"], r["m1"]) for r in line_dedup.minima(lines, 8, line_dedup.POINTS[:2]).collect()}
+    cut = lines.select("h", F.explode(F.regexp_extract_all("line", F.lit("(?s)(?=(.{8}))."), F.lit(1))).alias("s")).select("h", F.hash("s").alias("x"))
+    want = cut.groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(p))).alias(f"m{i}") for i, p in enumerate(line_dedup.POINTS[:2]))).collect()
+    assert got == {r["h"]: (1 + (r["h"] == 8), r["m0"], r["m1"]) for r in want}
+
+
 def test_recall_of_linked_lines():
     """Of linked pairs, the share that a band proposes and the signature lets pass."""
     rng = random.Random(11)
