@@ -49,11 +49,15 @@ def minima(lines: DataFrame, width: int, points: list[int]) -> DataFrame:
     coded = coded.withColumn("last", F.when(F.col("plain"), F.octet_length("b")).otherwise(F.octet_length("b") / 4).cast("int") - width).where("last >= 0")
     places = coded.select("h", "plain", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(8))).alias("at"))
 
+    # Decoded once for the eight places of a row.
+    stretch = F.decode(F.substring("b", F.col("at") * 4 + 1, F.lit(4 * (width + 7))), "UTF-32")
+    places = places.withColumn("stretch", F.when(~F.col("plain"), stretch))
+
     def hashed(k: int) -> Column:
         # Past the end the last place is read again, which changes no minimum.
-        at = F.least(F.col("at") + k, "last")
-        wide = F.decode(F.substring("b", at * 4 + 1, F.lit(4 * width)), "UTF-32")
-        return F.when(F.col("plain"), F.hash(F.substring("b", at + 1, F.lit(width)))).otherwise(F.hash(wide)).alias(f"x{k}")
+        at = F.least(F.lit(k), F.col("last") - F.col("at"))
+        narrow, wide = F.substring("b", F.col("at") + at + 1, F.lit(width)), F.substring("stretch", at + 1, F.lit(width))
+        return F.when(F.col("plain"), F.hash(narrow)).otherwise(F.hash(wide)).alias(f"x{k}")
 
     rows = places.select("h", F.when(F.col("at") == 0, 1).otherwise(0).alias("one"), *(hashed(k) for k in range(8)))
     least = [F.min(F.least(*(F.col(f"x{k}").bitwiseXOR(F.lit(p)) for k in range(8)))).alias(f"m{i}") for i, p in enumerate(points)]
