@@ -16,6 +16,24 @@ from accordant.session import scratch_path
 _passing: list[list[str]] = []
 
 
+def _write(df: DataFrame, path: str, codec: str = "snappy") -> None:
+    """Write a table, and take away what its plan shuffled as soon as it is there.
+
+    Else shuffled rows stay on the executors' disks until the driver happens to
+    collect its garbage, and those of one step lie beside those of the next.
+    """
+    conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup, None)
+    conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        if before is None:
+            conf.unset(cleanup)
+        else:
+            conf.set(cleanup, before)
+
+
 def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -24,7 +42,7 @@ def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     the ``codec`` zstd.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path, compression=codec)
+    _write(df, path, codec)
     if _passing:
         _passing[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -36,7 +54,7 @@ def keep_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) ->
     try:
         made = make()
         path = scratch_path(spark, name)
-        made.write.parquet(path)
+        _write(made, path)
     finally:
         passed = _passing.pop()
     files = spark._jvm.org.apache.hadoop.fs

@@ -115,31 +115,38 @@ def dedup_lines(
 
     Null texts stay null; of rows that repeat an id and a text one is the first and
     the others lose every line that is compared; rows and all other columns stay,
-    but for columns named as the added ones, which are replaced.
+    but for columns named as the added ones, which are replaced.  ``docs`` is read
+    four times, and must give the same rows each time.
     """
     size = bands * rows
     uid = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_col).alias("mix")]
     split = docs.select(*uid, F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
     split = split.select("doc", "mix", "pos", normal(F.col("raw")).alias("line")).where(F.length("line") >= least_chars)
-    # Cut, trimmed and hashed once; all that follows reads it from here.
-    lines = keep(split.select("doc", "mix", "pos", F.xxhash64("line").alias("h"), F.monotonically_increasing_id().alias("place"), "line"), "lines", "zstd")
+    split = split.select("doc", "mix", "pos", F.xxhash64("line").alias("h"), "line")
+    # Where lines stand is written down; their texts are most of the table, and are cut again the two times they are read.
+    lines = keep(split.select("doc", "mix", "pos", "h", F.monotonically_increasing_id().alias("place")), "lines", "zstd")
     classes = lines.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n"))
 
-    texts = lines.select("h", "line")
+    texts = split.select("h", "line")
 
-    def grouped() -> DataFrame:
+    def shared() -> DataFrame:
+        """Signatures and buckets of the nodes that share a bucket."""
         signed = minima(texts, width, POINTS[:size])
         signed = keep(signed.select("h", "n", F.array(*(f"m{i}" for i in range(size))).alias("sig")), "signed")
 
         band = F.array(*(F.xxhash64(F.lit(b), *(F.col("sig")[b * rows + r] for r in range(rows))) for b in range(bands)))
-        buckets = signed.select(F.col("h").alias("rep"), "n", F.explode(band).alias("key"))
+        buckets = signed.select("h", F.explode(band).alias("key"))
         of_key = Window.partitionBy("key")
-        buckets = buckets.select("rep", "key", "n", F.min("rep").over(of_key).alias("low"), F.max("rep").over(of_key).alias("high"))
-        members = keep(buckets.where("low < high").select("rep", "key", "n"), "members")
+        buckets = buckets.select("h", "key", F.min("h").over(of_key).alias("low"), F.max("h").over(of_key).alias("high"))
+        keys = keep(buckets.where("low < high").groupBy("h").agg(F.collect_list("key").alias("keys")), "keys")
+        return signed.join(keys.hint("merge"), "h")
+
+    def grouped() -> DataFrame:
         # A written table has a known size, by which Spark decides how to join it.
-        wanted = keep(members.select(F.col("rep").alias("h")).distinct(), "wanted")
-        found = texts.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-        nodes = keep(found.join(signed.hint("merge"), "h").select("h", "sig", "line"), "nodes", "zstd")
+        wanted = keep_alone(docs.sparkSession, "wanted", shared)
+        members = keep(wanted.select(F.col("h").alias("rep"), F.explode("keys").alias("key"), "n"), "members")
+        found = texts.join(wanted.select("h"), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+        nodes = keep(found.join(wanted.hint("merge"), "h").select("h", "sig", "line"), "nodes", "zstd")
         # Of pairs at the threshold, fewer than one in 10,000 agree in so few places.
         least = next(k for k in range(size, -1, -1) if sum(_binomial(size, j, percent / 100) for j in range(k)) < 1e-4)
 

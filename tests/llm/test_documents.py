@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from accordant.llm import html_text, line_dedup, near_docs, secrets, toxicity
+from accordant.llm import common, html_text, line_dedup, near_docs, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORDS = [a + b for a in ("ta", "ri", "mo", "ku", "le", "sa") for b in ("n", "rd", "lk", "st", "ve", "xo", "pi", "gu")]
@@ -202,6 +202,47 @@ def test_crowd_round_its_commonest_line(spark, monkeypatch):
     assert crowd == [0]
 
 
+def test_texts_of_lines_kept(spark, monkeypatch):
+    """Only texts of lines that may resemble another are written down, and signatures of all are gone before these are compared."""
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice(WORDS) for _ in range(20)) for _ in range(200)]
+    texts = dict(enumerate([*lines, f"{lines[0]} x", "\n".join(lines[:9])]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    kept, seen = [], []
+    keep, cluster = line_dedup.keep, line_dedup.cluster
+
+    def noted(df, name, *codec):
+        kept.append((name, keep(df, name, *codec)))
+        return kept[-1][1]
+
+    def compared(*args, **options):
+        seen.extend((name, t.count()) for name, t in kept if "line" in t.columns)
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+            dict(kept)["signed"].count()
+        return cluster(*args, **options)
+
+    monkeypatch.setattr(line_dedup, "keep", noted)
+    monkeypatch.setattr(line_dedup, "cluster", compared)
+    check_lines(texts, [tuple(r) for r in line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed").collect()])
+    assert seen == [("nodes", 2)]
+
+
+def test_shuffled_rows_go_once_a_table_is_kept(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, cleanup = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    counts = spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").agg(F.sum("id").alias("s"))
+    both = common.keep(counts.join(counts.withColumnRenamed("s", "t").hint("merge"), "k"), "sums")
+    alone = common.keep_alone(spark, "alone", lambda: both.groupBy("k").agg(F.max("s").alias("s")))
+    waited = time.time() + 20
+    while shuffled() - before and time.time() < waited:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(cleanup) == "false"
+    assert alone.count() == counts.count() == 7 and both.where("s = t").count() == 7
+
+
 def test_minima_of_whole_lines(spark):
     """Every place of a line is read, the last ones as well, whatever the width of its characters."""
     text = "äé😀机器学习 one two, drei; vier ... 😀😀 twenty-three and some more"
